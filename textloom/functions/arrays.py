@@ -55,7 +55,21 @@ def argmax(scores: Column) -> Column:
 
 
 def percent(share: Column) -> Column:
-    return F.format_string("%.2f%%", share * 100)
+    """``%.2f%%`` of ``100 * share``, ties decided by the exact binary value.
+
+    The JVM formats the shortest decimal form, half up. Where that form ends in
+    a third decimal 5, the sign of what the double lacks of it is found by
+    multiplying its two exact halves, and the text is rounded down if needed.
+    """
+    x = share * 100
+    k = F.round(x * 1000)
+    spread = x * 134217729.0
+    high = spread - (spread - x)
+    lack = (high * 1000 - k) + (x - high) * 1000
+    tie = (F.round(x, 3) == x) & (F.abs(k) % 10 == 5)
+    even_below = F.floor(k / 10) % 2 == 0
+    down = tie & ((lack < 0) | ((lack == 0) & even_below))
+    return F.format_string("%.2f%%", F.when(down, (k - 5) / 1000).otherwise(x))
 
 
 def last_path_part(path: Column) -> Column:

@@ -30,16 +30,19 @@ def page_of(ident: Column) -> Column:
     return F.shiftright(ident, PAGE_BITS)
 
 
-def _before(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """Rows in earlier buckets of the same key, summed in two levels.
+def _before(counts: DataFrame, keys: list[str], bucket: str, paged: bool) -> DataFrame:
+    """Rows in earlier buckets of the same key.
 
-    No window sees more than 2**20 buckets of one coarse group.
+    Page numbers are unbounded and summed in two levels, so no window sees more
+    than 2**20 pages of one coarse group; digest buckets are few.
     """
-    coarse = F.shiftright(bucket, PAGE_BITS)
-    counts = counts.withColumn("_coarse", coarse)
     upto = lambda part, order: (
         Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
+    if not paged:
+        before = F.coalesce(F.sum("_n").over(upto(keys, bucket)), F.lit(0))
+        return counts.withColumn("_before", before)
+    counts = counts.withColumn("_coarse", F.shiftright(bucket, PAGE_BITS))
     totals = counts.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n"))
     totals = totals.select(
         *keys, "_coarse", F.coalesce(F.sum("_n").over(upto(keys, "_coarse")), F.lit(0)).alias("_base")
@@ -52,7 +55,9 @@ def _before(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     )
 
 
-def position_within(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "pos") -> DataFrame:
+def position_within(
+    df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "pos", paged: bool = False
+) -> DataFrame:
     """1-based position of each row inside its key.
 
     ``bucket`` must grow with ``order`` and hold a bounded number of rows. The
@@ -61,7 +66,7 @@ def position_within(df: DataFrame, keys: list[str], bucket: Column, order: list,
     """
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    offsets = pin_small(_before(counts, keys, "_bucket").drop("_n"))
+    offsets = pin_small(_before(counts, keys, "_bucket", paged).drop("_n"))
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
         df.withColumn("_local", local)
@@ -79,7 +84,7 @@ def shuffled_position(df: DataFrame, seed: Column | int, salt: str = "", name: s
 
 def row_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """Position of every row in ``id`` order."""
-    return position_within(df, [], page_of(F.col("id")), ["id"], name)
+    return position_within(df, [], page_of(F.col("id")), ["id"], name, paged=True)
 
 
 def seeded_shuffle(df: DataFrame, seed: int, salt: str = "") -> DataFrame:
@@ -87,7 +92,9 @@ def seeded_shuffle(df: DataFrame, seed: int, salt: str = "") -> DataFrame:
     return df.orderBy(seeded_key(seed, F.col("id"), salt), "id")
 
 
-def rank_cuts(keys: DataFrame, group: list[str], order: str, bucket: Column, cuts: DataFrame) -> DataFrame:
+def rank_cuts(
+    keys: DataFrame, group: list[str], order: str, bucket: Column, cuts: DataFrame, paged: bool = False
+) -> DataFrame:
     """The ``order`` value at given 1-based ranks of each group.
 
     ``cuts`` holds ``(*group, cut, rank)``. Counts per bucket locate each rank;
@@ -96,7 +103,7 @@ def rank_cuts(keys: DataFrame, group: list[str], order: str, bucket: Column, cut
     """
     keys = keys.select(*group, F.col(order), bucket.alias("_bucket"))
     counts = keys.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    spans = pin_small(_before(counts, group, "_bucket"))
+    spans = pin_small(_before(counts, group, "_bucket", paged))
     inside = (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_n"))
     wanted = pin_small(spans.join(cuts, group).filter(inside).select(*group, "_bucket", "_before", "cut", "rank"))
     sought = keys.join(wanted.select(*group, "_bucket").distinct(), [*group, "_bucket"])

@@ -29,7 +29,7 @@ def positional_split(df: DataFrame, ratio: float = RATIO) -> DataFrame:
     ranks = [(0, "test", total - share + 1), (0, "val", total - 2 * share + 1)]
     cuts = df.sparkSession.createDataFrame(ranks, "part int, cut string, rank long")
     keys = df.select(F.lit(0).alias("part"), "id")
-    found = rank_cuts(keys, ["part"], "id", page_of(F.col("id")), cuts).collect()
+    found = rank_cuts(keys, ["part"], "id", page_of(F.col("id")), cuts, paged=True).collect()
     at = {row["cut"]: row["at"] for row in found}
     split = F.when(F.col("id") >= at["test"], "test").when(F.col("id") >= at["val"], "val").otherwise("train")
     return df.withColumn("split", split)

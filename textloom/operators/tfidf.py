@@ -31,45 +31,75 @@ class Tfidf:
     idf: DataFrame
 
 
-def fit_tfidf(docs: DataFrame, seeds: list[int], features: int = FEATURES) -> Tfidf:
-    """``docs`` has ``terms`` (tokens) and ``assign`` (one split per seed)."""
-    in_train = [(F.get("assign", i)["split"] == "train").alias(f"t{i}") for i in range(len(seeds))]
-    rows = docs.select(*in_train, tx.term_counts(F.col("terms")).alias("bag"))
-    sizes = [F.count_if(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(seeds))]
-    size_row = docs.select(*in_train).agg(*sizes).first()
+def _in_train(seeds: list[int]) -> list:
+    return [(F.get("assign", i)["split"] == "train").alias(f"t{i}") for i in range(len(seeds))]
+
+
+def _counts_per_seed(docs: DataFrame, seeds: list[int], candidates: DataFrame) -> DataFrame:
+    """``(seed, term, cf, df)`` of the candidate terms over each seed's train rows."""
+    rows = docs.select(*_in_train(seeds), F.inline(tx.term_counts(F.col("terms"))))
     sums = []
     for i in range(len(seeds)):
         sums.append(F.sum(F.when(F.col(f"t{i}"), F.col("tf")).otherwise(0)).alias(f"cf{i}"))
         sums.append(F.count_if(F.col(f"t{i}")).alias(f"df{i}"))
-    flags = [f"t{i}" for i in range(len(seeds))]
-    wide = rows.select(*flags, F.inline("bag")).groupBy("term").agg(*sums)
+    wide = rows.join(candidates.select("term"), "term").groupBy("term").agg(*sums)
     per_seed = F.array(
         *[
-            F.struct(
-                F.lit(seed).alias("seed"),
-                F.col(f"cf{i}").alias("cf"),
-                F.col(f"df{i}").alias("df"),
-                F.lit(size_row[f"t{i}"]).alias("n_train"),
-            )
+            F.struct(F.lit(seed).alias("seed"), F.col(f"cf{i}").alias("cf"), F.col(f"df{i}").alias("df"))
             for i, seed in enumerate(seeds)
         ]
     )
-    long = wide.select("term", F.inline(per_seed)).filter(F.col("cf") > 0)
+    return wide.select("term", F.inline(per_seed)).filter(F.col("cf") > 0)
+
+
+def train_top_terms(docs: DataFrame, seeds: list[int], features: int) -> DataFrame:
+    """The ``features`` most frequent train terms of each seed.
+
+    Only counts over all seeds' train rows are taken for the whole vocabulary.
+    A term's count for one seed cannot exceed that total, so the candidates, the
+    terms with the largest totals, are complete once every seed's last chosen
+    count is above the smallest candidate total; else more candidates are taken.
+    """
+    anywhere = F.exists("assign", lambda a: a["split"] == "train")
+    bags = docs.filter(anywhere).select(F.inline(tx.term_counts(F.col("terms"))))
+    totals = bags.groupBy("term").agg(F.sum("tf").alias("cf"))
+    width = 4 * features
+    while True:
+        candidates = pin_small(totals.orderBy(F.desc("cf"), "term").limit(width))
+        found, smallest = candidates.agg(F.count("*"), F.min("cf")).first()
+        counts = _counts_per_seed(docs, seeds, candidates)
+        top = pin_small(top_terms_within(counts, ["seed"], features), len(seeds) * features)
+        if found < width:
+            return top
+        settled = top.groupBy("seed").agg((F.count("*") == features) & (F.min("cf") > smallest))
+        if all(row[1] for row in settled.collect()):
+            return top
+        width *= 4
+
+
+def fit_tfidf(docs: DataFrame, seeds: list[int], features: int = FEATURES) -> Tfidf:
+    """``docs`` has ``terms`` (tokens) and ``assign`` (one split per seed)."""
+    sizes = docs.select(F.inline("assign")).filter(F.col("split") == "train")
+    sizes = pin_small(sizes.groupBy("seed").agg(F.count("*").alias("n_train")))
     idf = F.log((1 + F.col("n_train")) / (1 + F.col("df"))) + 1
-    terms = pin_small(top_terms_within(long, ["seed"], features).withColumn("idf", idf), len(seeds) * features)
+    top = train_top_terms(docs, seeds, features)
+    terms = pin_small(top.join(sizes, "seed").withColumn("idf", idf), len(seeds) * features)
 
-    # At most seeds * features words, by construction.
-    words = [r["term"] for r in terms.select("term").distinct().orderBy("term").collect()]
+    # Rare words first, the order the neighbour search probes them in.
+    ordered = terms.groupBy("term").agg(F.sum("df").alias("df")).orderBy("df", "term")
+    words = [r["term"] for r in ordered.collect()]
     spark = docs.sparkSession
     numbered = spark.createDataFrame(list(enumerate(words)), "idx int, term string")
     terms = pin_small(terms.join(numbered, "term"), len(seeds) * features)
-    dense = F.array_sort(F.collect_list(F.struct("idx", "idf")))
-    sparse_map = terms.groupBy("seed").agg(F.map_from_entries(dense).alias("m"))
-    places = F.sequence(F.lit(0), F.lit(max(len(words) - 1, 0)))
-    idf_rows = sparse_map.select(
-        "seed", F.transform(places, lambda j: F.coalesce(F.col("m")[j], F.lit(0.0))).alias("idf")
-    )
-    return Tfidf(seeds, words, terms, pin_small(idf_rows))
+    return Tfidf(seeds, words, terms, pin_small(_dense_idf(terms, len(words))))
+
+
+def _dense_idf(terms: DataFrame, n_words: int) -> DataFrame:
+    """``(seed, idf)``: one array over the union vocabulary, zero outside a seed's own terms."""
+    by_place = F.map_from_entries(F.collect_list(F.struct("idx", "idf")))
+    rows = terms.groupBy("seed").agg(by_place.alias("m"))
+    places = F.sequence(F.lit(0), F.lit(max(n_words - 1, 0)))
+    return rows.select("seed", F.transform(places, lambda j: F.coalesce(F.col("m")[j], F.lit(0.0))).alias("idf"))
 
 
 def count_terms(docs: DataFrame, model: Tfidf) -> DataFrame:

@@ -10,25 +10,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, by: str = "id") -> DataFrame:
+    """Use every core on a table that comes in fewer splits than there are cores.
+
+    Tables of many files or row groups, as on a cluster, pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry a label: ``(id, text, label, project, lang)``."""
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    return documents.join(labels, "doc_id").select(
+    rows = documents.join(labels, "doc_id").select(
         F.col("doc_id").alias("id"),
         "text",
         (1 - F.col("quality")).alias("label"),
         F.col("source").alias("project"),
         "lang",
     )
+    return spread(rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("project")
     )
+    return spread(rows)
 
 
-LABELLED = """labelled AS (
-  SELECT d.doc_id AS id, d.text, 1 - l.quality AS label, d.source AS project, d.lang
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
