@@ -44,6 +44,19 @@ def l2_normalize(values: Column) -> Column:
     return let(l2_norm(values), lambda norm: F.transform(values, lambda x: x / norm))
 
 
+def dense(entries: Column, value: str) -> Column:
+    """Field ``value`` of entries sorted by ``idx``, as an array indexed by ``idx``.
+
+    Gaps are zero and the array ends at the last entry, so reading past it gives null.
+    """
+
+    def filled(entry: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(entries, i - 1)["idx"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0.0), entry["idx"] - last - 1), F.array(entry[value]))
+
+    return F.flatten(F.transform(entries, filled))
+
+
 def class_at(probability: Column, cut: float = 0.5) -> Column:
     """1 strictly above the cut."""
     return F.when(probability > cut, 1).otherwise(0)

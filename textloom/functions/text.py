@@ -29,8 +29,11 @@ def lower_words(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; a final line end opens no further line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def trimmed(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return let(F.split(text, LINE_END, -1), trimmed)
 
 
 def brace_sentences(text: Column) -> Column:
@@ -60,12 +63,14 @@ def term_counts(tokens: Column) -> Column:
     between its start and the next one. No (document, term) shuffle is needed.
     """
 
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+
     def runs(ordered: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(0), F.size(ordered) - 1),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-        return let(
+        found = let(
             starts,
             lambda s: F.transform(
                 s,
@@ -76,5 +81,6 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(empty)
+        return F.when(F.size(ordered) > 0, found).otherwise(empty)
+
+    return let(F.sort_array(tokens), runs)

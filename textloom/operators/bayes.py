@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import dense
+from ..functions.rows import unnest_structs
 from .bounded import pin_small
 
 SMOOTHING = 1e-9
 
 
-def fit_bayes(weighed: DataFrame, terms: DataFrame, n_words: int) -> DataFrame:
+def fit_bayes(weighed: DataFrame, terms: DataFrame) -> DataFrame:
     """``(seed, model)`` with one entry per class: base score and two arrays over terms.
 
     Sums of x and x squared per (seed, class, term) combine map-side; absent
     terms are the zeros implied by the class size.
     """
     train = weighed.filter(F.col("split") == "train")
-    sizes = pin_small(train.groupBy("seed", "label").agg(F.count("*").alias("n")))
+    sizes = train.groupBy("seed", "label").agg(F.count("*").alias("n"))
     weight = F.col("weight")
     sums = (
-        train.select("seed", "label", F.inline("features"))
+        unnest_structs(train, ["seed", "label"], "features")
         .groupBy("seed", "label", "idx")
         .agg(F.sum(weight).alias("s1"), F.sum(weight * weight).alias("s2"))
     )
@@ -35,21 +37,17 @@ def fit_bayes(weighed: DataFrame, terms: DataFrame, n_words: int) -> DataFrame:
     grid = grid.withColumn("mean", mean).withColumn("var", F.col("s2") / F.col("n") - mean * mean + floor)
 
     at_zero = -0.5 * (F.log(2 * F.pi() * F.col("var")) + F.col("mean") * F.col("mean") / F.col("var"))
-    entry = F.map_from_entries(
-        F.collect_list(
-            F.struct("idx", F.struct((F.col("mean") / F.col("var")).alias("a"), (0.5 / F.col("var")).alias("b")))
-        )
-    )
-    per_class = grid.groupBy("seed", "label", "n").agg(F.sum(at_zero).alias("zero"), entry.alias("m"))
-    places = F.sequence(F.lit(0), F.lit(max(n_words - 1, 0)))
+    a, b = F.col("mean") / F.col("var"), 0.5 / F.col("var")
+    entries = F.sort_array(F.collect_list(F.struct("idx", a.alias("a"), b.alias("b"))))
+    per_class = grid.groupBy("seed", "label", "n").agg(F.sum(at_zero).alias("zero"), entries.alias("e"))
     prior = F.log(F.col("n") / F.sum("n").over(Window.partitionBy("seed")))
     per_class = per_class.select(
         "seed",
         F.struct(
             F.col("label"),
             (prior + F.col("zero")).alias("base"),
-            F.transform(places, lambda j: F.coalesce(F.col("m")[j]["a"], F.lit(0.0))).alias("a"),
-            F.transform(places, lambda j: F.coalesce(F.col("m")[j]["b"], F.lit(0.0))).alias("b"),
+            dense(F.col("e"), "a").alias("a"),
+            dense(F.col("e"), "b").alias("b"),
         ).alias("c"),
     )
     return pin_small(per_class.groupBy("seed").agg(F.sort_array(F.collect_list("c")).alias("model")))

@@ -103,7 +103,7 @@ def rank_cuts(
     """
     keys = keys.select(*group, F.col(order), bucket.alias("_bucket"))
     counts = keys.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    spans = pin_small(_before(counts, group, "_bucket", paged))
+    spans = _before(counts, group, "_bucket", paged)
     inside = (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_n"))
     wanted = pin_small(spans.join(cuts, group).filter(inside).select(*group, "_bucket", "_before", "cut", "rank"))
     sought = keys.join(wanted.select(*group, "_bucket").distinct(), [*group, "_bucket"])

@@ -7,9 +7,12 @@ shuffled, and a class of any size is handled by all tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import unnest_structs
 from .bounded import pin_small
 from .ordering import digest_bucket, page_of, rank_cuts, seeded_key
 
@@ -67,33 +70,24 @@ def _per_class_cuts(df: DataFrame, seeds: list[int], ranks: DataFrame, salt: str
     """``(seed, label, cut, at)`` for ranks given per seed and class."""
     keys = _seed_rows(df.select("id", "label"), seeds)
     keys = keys.withColumn("_key", seeded_key(F.col("seed"), F.col("id"), salt))
-    return pin_small(rank_cuts(keys, ["seed", "label"], "_key", digest_bucket(F.col("_key")), ranks))
+    return rank_cuts(keys, ["seed", "label"], "_key", digest_bucket(F.col("_key")), ranks)
 
 
-def assign_stratified(
-    df: DataFrame, seeds: list[int], ratio: float = RATIO, undersample: int | None = None
-) -> DataFrame:
+def assign_stratified(df: DataFrame, seeds: list[int], ratio: float = RATIO) -> DataFrame:
     """Adds ``assign``: for each seed in order, ``struct<seed, split>``.
 
-    One row per document whatever the number of seeds, so text is tokenized
-    once. With ``undersample=k`` the surplus train rows of the majority class
-    beyond ``k`` times the minority class get the split ``dropped``.
+    One row per document whatever the number of seeds, so text is tokenized once.
     """
     quotas = pin_small(class_quotas(df, ratio))
     steps = F.array(
         F.struct(F.lit("test").alias("cut"), F.col("n_test").alias("rank")),
         F.struct(F.lit("val").alias("cut"), (F.col("n_test") + F.col("n_val")).alias("rank")),
     )
-    ranks = _seed_rows(quotas.select("label", F.inline(steps)), seeds)
+    ranks = _seed_rows(unnest_structs(quotas, ["label"], steps), seeds)
     cuts = _per_class_cuts(df, seeds, ranks, "")
-    by_class = (
-        cuts.groupBy("label", "seed")
-        .agg(
-            F.coalesce(F.max(F.when(F.col("cut") == "test", F.col("at"))), F.lit("")).alias("test"),
-            F.coalesce(F.max(F.when(F.col("cut") == "val", F.col("at"))), F.lit("")).alias("val"),
-        )
-    )
-    grid = _seed_rows(quotas.select("label"), seeds).join(by_class, ["label", "seed"], "left").fillna("")
+    last = lambda cut: F.max(F.when(F.col("cut") == cut, F.col("at"))).alias(cut)
+    cuts = cuts.groupBy("label", "seed").agg(last("test"), last("val"))
+    grid = _seed_rows(quotas.select("label"), seeds).join(cuts, ["label", "seed"], "left").fillna("")
     slot = F.array_position(F.lit(seeds), F.col("seed")).alias("slot")
     table = grid.groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct(slot, "seed", "test", "val"))).alias("_cuts")
@@ -105,26 +99,50 @@ def assign_stratified(
         split = F.when(key <= cut["test"], "test").when(key <= cut["val"], "val").otherwise("train")
         return F.struct(cut["seed"].alias("seed"), split.alias("split"))
 
-    df = df.withColumn("assign", F.transform("_cuts", choose)).drop("_cuts")
-    return _drop_surplus(df, seeds, undersample) if undersample else df
+    return df.withColumn("assign", F.transform("_cuts", choose)).drop("_cuts")
 
 
-def _drop_surplus(df: DataFrame, seeds: list[int], k: int) -> DataFrame:
-    train = df.select("id", "label", F.inline("assign")).filter(F.col("split") == "train").drop("split")
-    cuts = undersample_cuts(train, k)
-    merged = cuts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("seed", "at"))).alias("_keep"))
-    df = df.join(pin_small(merged), "label", "left")
+SURPLUS = "u"
+RUN_STEP = 10_000_000
 
-    def choose(entry: Column) -> Column:
-        last = F.col("_keep")[entry["seed"]]
-        surplus = (entry["split"] == "train") & (seeded_key(entry["seed"], F.col("id"), SURPLUS) > last)
-        split = F.when(F.coalesce(surplus, F.lit(False)), "dropped").otherwise(entry["split"])
-        return F.struct(entry["seed"].alias("seed"), split.alias("split"))
 
-    return df.withColumn("assign", F.transform("assign", choose)).drop("_keep")
+def run_key(treatment: int, seed: int) -> int:
+    """One number for a treatment's place and a seed."""
+    return treatment * RUN_STEP + seed
 
 
-SURPLUS = "u"
+def assign_treatments(
+    df: DataFrame, seeds: list[int], treatments: list[int | None], ratio: float = RATIO
+) -> DataFrame:
+    """``assign`` with one entry per treatment and seed, its ``seed`` being their run key.
+
+    A treatment is the undersampling ratio ``k``, or ``None`` for all train
+    rows. Surplus train rows of the majority class get the split ``dropped``.
+    All treatments share one split and one search for their cut points.
+    """
+    df = assign_stratified(df, seeds, ratio)
+    ratios = sorted({k for k in treatments if k})
+    df = df.withColumn("_keep", F.lit(None).cast("map<struct<seed:int,k:int>,string>"))
+    if ratios:
+        train = unnest_structs(df, ["id", "label"], "assign").filter(F.col("split") == "train").drop("split")
+        cuts = undersample_cuts(train, ratios)
+        entry = F.struct(F.struct("seed", "k"), "at")
+        kept = pin_small(cuts.groupBy("label").agg(F.map_from_entries(F.collect_list(entry)).alias("_keep")))
+        df = df.drop("_keep").join(kept, "label", "left")
+
+    def entries(place: int, k: int | None) -> Column:
+        def choose(e: Column) -> Column:
+            split = e["split"]
+            if k:
+                last = F.col("_keep")[F.struct(e["seed"].alias("seed"), F.lit(k).alias("k"))]
+                surplus = (split == "train") & (seeded_key(e["seed"], F.col("id"), SURPLUS) > last)
+                split = F.when(F.coalesce(surplus, F.lit(False)), "dropped").otherwise(split)
+            return F.struct((e["seed"] + place * RUN_STEP).alias("seed"), split.alias("split"))
+
+        return F.transform("assign", choose)
+
+    parts = [entries(place, k) for place, k in enumerate(treatments)]
+    return df.withColumn("assign", F.concat(*parts)).drop("_keep")
 
 
 def undersample_report(train: DataFrame, k: int) -> DataFrame:
@@ -142,20 +160,23 @@ def undersample_report(train: DataFrame, k: int) -> DataFrame:
     ).withColumn("reachable", (F.col("n_classes") == 2) & (F.col("target") <= F.col("n_majority")))
 
 
-def undersample_cuts(train: DataFrame, k: int) -> DataFrame:
-    """``(seed, label, at)``: last key kept of each majority class that shrinks."""
-    report = undersample_report(train, k).filter("reachable")
-    ranks = pin_small(
-        report.select("seed", F.col("majority").alias("label"), F.lit("keep").alias("cut"), F.col("target").alias("rank"))
-    )
+def undersample_cuts(train: DataFrame, ratios: list[int]) -> DataFrame:
+    """``(seed, label, k, at)``: last key kept of each majority class that shrinks."""
+    ranks = [
+        undersample_report(train, k)
+        .filter("reachable")
+        .select("seed", F.col("majority").alias("label"), F.lit(k).alias("cut"), F.col("target").alias("rank"))
+        for k in ratios
+    ]
+    ranks = pin_small(reduce(DataFrame.unionByName, ranks))
     keys = train.select("seed", "label", seeded_key(F.col("seed"), F.col("id"), SURPLUS).alias("_key"))
     cuts = rank_cuts(keys, ["seed", "label"], "_key", digest_bucket(F.col("_key")), ranks)
-    return pin_small(cuts.drop("cut"))
+    return cuts.withColumnRenamed("cut", "k")
 
 
 def undersample(train: DataFrame, k: int) -> DataFrame:
     """Random undersampling of ``(seed, id, label, …)`` without replacement."""
-    cuts = undersample_cuts(train, k)
+    cuts = pin_small(undersample_cuts(train, [k]).drop("k"))
     key = seeded_key(F.col("seed"), F.col("id"), SURPLUS)
     return (
         train.join(cuts, ["seed", "label"], "left")
@@ -168,10 +189,9 @@ def stratified_split(
     df: DataFrame, seeds: list[int], ratio: float = RATIO, undersample: int | None = None
 ) -> DataFrame:
     """One row per seed and document with its ``split``; dropped rows are left out."""
-    df = assign_stratified(df, seeds, ratio, undersample)
-    return df.select(*[c for c in df.columns if c != "assign"], F.inline("assign")).filter(
-        F.col("split") != "dropped"
-    )
+    df = assign_treatments(df, seeds, [undersample], ratio)
+    keep = [c for c in df.columns if c != "assign"]
+    return unnest_structs(df, keep, "assign").filter(F.col("split") != "dropped")
 
 
 def given_split(frames: dict[str, DataFrame]) -> DataFrame:

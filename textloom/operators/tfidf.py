@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import dense
+from ..functions.rows import unnest, unnest_structs
 from .bounded import pin_small
 from .vocabulary import top_terms_within
 
@@ -23,7 +25,11 @@ FEATURES = 1000
 
 @dataclass(frozen=True)
 class Tfidf:
-    """``words``: union vocabulary; ``terms``: ``(seed, term, idx, cf, df, idf)``."""
+    """``words``: union vocabulary; ``terms``: ``(seed, term, idx, cf, df, idf)``.
+
+    ``idf`` has one array per seed over the union vocabulary, zero at words that
+    are not the seed's own.
+    """
 
     seeds: list[int]
     words: list[str]
@@ -37,7 +43,7 @@ def _in_train(seeds: list[int]) -> list:
 
 def _counts_per_seed(docs: DataFrame, seeds: list[int], candidates: DataFrame) -> DataFrame:
     """``(seed, term, cf, df)`` of the candidate terms over each seed's train rows."""
-    rows = docs.select(*_in_train(seeds), F.inline(tx.term_counts(F.col("terms"))))
+    rows = unnest_structs(docs, _in_train(seeds), tx.term_counts(F.col("terms")))
     sums = []
     for i in range(len(seeds)):
         sums.append(F.sum(F.when(F.col(f"t{i}"), F.col("tf")).otherwise(0)).alias(f"cf{i}"))
@@ -49,7 +55,7 @@ def _counts_per_seed(docs: DataFrame, seeds: list[int], candidates: DataFrame) -
             for i, seed in enumerate(seeds)
         ]
     )
-    return wide.select("term", F.inline(per_seed)).filter(F.col("cf") > 0)
+    return unnest_structs(wide, ["term"], per_seed).filter(F.col("cf") > 0)
 
 
 def train_top_terms(docs: DataFrame, seeds: list[int], features: int) -> DataFrame:
@@ -61,8 +67,8 @@ def train_top_terms(docs: DataFrame, seeds: list[int], features: int) -> DataFra
     count is above the smallest candidate total; else more candidates are taken.
     """
     anywhere = F.exists("assign", lambda a: a["split"] == "train")
-    bags = docs.filter(anywhere).select(F.inline(tx.term_counts(F.col("terms"))))
-    totals = bags.groupBy("term").agg(F.sum("tf").alias("cf"))
+    tokens = unnest(docs.filter(anywhere), [], "terms", "term")
+    totals = tokens.groupBy("term").agg(F.count("*").alias("cf"))
     width = 4 * features
     while True:
         candidates = pin_small(totals.orderBy(F.desc("cf"), "term").limit(width))
@@ -79,8 +85,8 @@ def train_top_terms(docs: DataFrame, seeds: list[int], features: int) -> DataFra
 
 def fit_tfidf(docs: DataFrame, seeds: list[int], features: int = FEATURES) -> Tfidf:
     """``docs`` has ``terms`` (tokens) and ``assign`` (one split per seed)."""
-    sizes = docs.select(F.inline("assign")).filter(F.col("split") == "train")
-    sizes = pin_small(sizes.groupBy("seed").agg(F.count("*").alias("n_train")))
+    sizes = unnest_structs(docs, [], "assign").filter(F.col("split") == "train")
+    sizes = sizes.groupBy("seed").agg(F.count("*").alias("n_train"))
     idf = F.log((1 + F.col("n_train")) / (1 + F.col("df"))) + 1
     top = train_top_terms(docs, seeds, features)
     terms = pin_small(top.join(sizes, "seed").withColumn("idf", idf), len(seeds) * features)
@@ -91,15 +97,9 @@ def fit_tfidf(docs: DataFrame, seeds: list[int], features: int = FEATURES) -> Tf
     spark = docs.sparkSession
     numbered = spark.createDataFrame(list(enumerate(words)), "idx int, term string")
     terms = pin_small(terms.join(numbered, "term"), len(seeds) * features)
-    return Tfidf(seeds, words, terms, pin_small(_dense_idf(terms, len(words))))
-
-
-def _dense_idf(terms: DataFrame, n_words: int) -> DataFrame:
-    """``(seed, idf)``: one array over the union vocabulary, zero outside a seed's own terms."""
-    by_place = F.map_from_entries(F.collect_list(F.struct("idx", "idf")))
-    rows = terms.groupBy("seed").agg(by_place.alias("m"))
-    places = F.sequence(F.lit(0), F.lit(max(n_words - 1, 0)))
-    return rows.select("seed", F.transform(places, lambda j: F.coalesce(F.col("m")[j], F.lit(0.0))).alias("idf"))
+    entries = F.sort_array(F.collect_list(F.struct("idx", "idf")))
+    idf_rows = terms.groupBy("seed").agg(entries.alias("e")).select("seed", dense(F.col("e"), "idf").alias("idf"))
+    return Tfidf(seeds, words, terms, pin_small(idf_rows))
 
 
 def count_terms(docs: DataFrame, model: Tfidf) -> DataFrame:
@@ -115,10 +115,10 @@ def weigh(docs: DataFrame, model: Tfidf) -> DataFrame:
     pairs = F.zip_with(
         F.col("_raw.indices"),
         F.col("_raw.values"),
-        lambda i, v: F.struct(i.alias("idx"), (v * F.get("idf", i)).alias("weight")),
+        lambda i, v: F.struct(i.alias("idx"), (v * F.coalesce(F.get("idf", i), F.lit(0.0))).alias("weight")),
     )
     rows = (
-        counted.select(*keep, "_raw", F.inline("assign"))
+        unnest_structs(counted, [*keep, "_raw"], "assign")
         .filter(F.col("split") != "dropped")
         .join(model.idf, "seed")
         .select("seed", *keep, "split", F.filter(pairs, lambda p: p["weight"] > 0).alias("_w"))
@@ -136,12 +136,13 @@ def weigh(docs: DataFrame, model: Tfidf) -> DataFrame:
 def tfidf_long(weighed: DataFrame, model: Tfidf) -> DataFrame:
     """``(seed, id, split, term, weight)``."""
     vocabulary = model.terms.select("idx", "term").distinct()
-    return weighed.select("seed", "id", "split", F.inline("features")).join(vocabulary, "idx").drop("idx")
+    return unnest_structs(weighed, ["seed", "id", "split"], "features").join(vocabulary, "idx").drop("idx")
 
 
 def vector_stages(model: Tfidf, seed: int) -> list:
     """Spark ML stages that turn ``terms`` into a unit-norm sparse vector ``features``."""
     idf = model.idf.filter(F.col("seed") == seed).first()["idf"]
+    idf = idf + [0.0] * (len(model.words) - len(idf))
     return [
         CountVectorizerModel.from_vocabulary(model.words, inputCol="terms", outputCol="counts"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted"),

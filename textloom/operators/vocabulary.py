@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.rows import unnest, unnest_structs
 from .bounded import broadcast_if_small, pin_small
 from .ordering import global_rank, top_within
 
@@ -18,7 +19,7 @@ def term_statistics(df: DataFrame, tokens: Column) -> DataFrame:
     Counts are taken per document inside the row, then combined map-side; only
     the vocabulary is shuffled, so a term in every document costs no more.
     """
-    pairs = df.select(F.inline(tx.term_counts(tokens)))
+    pairs = unnest_structs(df, [], tx.term_counts(tokens))
     return pairs.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
@@ -33,7 +34,7 @@ def top_terms_within(stats: DataFrame, key: list[str], n: int = 1000) -> DataFra
 
 def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     """``(word, id, n)``: ids from 1 by falling count, then by word; 0 is padding."""
-    counts = df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = unnest(df, [], tokens, "word").groupBy("word").agg(F.count("*").alias("n"))
     return global_rank(counts, [F.desc("n"), F.col("word")], "id").select("word", "id", "n")
 
 

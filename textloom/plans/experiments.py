@@ -9,7 +9,7 @@ from ..operators import experiment as ex
 from ..operators import metrics as me
 from ..operators import ordering
 from ..operators import signedrank as sr
-from ..operators.clean import union_all
+from ..operators.split import RUN_STEP
 from . import sql, study
 from .registry import query
 from .tables import table
@@ -88,12 +88,13 @@ METHODS = {"as_is": None, "equal": 1, "double": 2}
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Test metrics per method and seed: naive Bayes on differently balanced train rows."""
-    frames = []
-    for method, k in METHODS.items():
-        preds = study.bayes_predictions(spark, sf, undersample=k).filter(F.col("split") == "test")
-        frames.append(me.binary_report(preds, ["seed"]).withColumn("method", F.lit(method)))
-    rows = union_all(frames).withColumns({c: F.round(c, 9) for c in sql.METRICS})
-    return rows.select(F.lit("tfidf").alias("model"), "method", F.lit("bayes").alias("classifier"), "seed", *sql.METRICS)
+    names = F.lit(list(METHODS))
+    preds = study.bayes_predictions(spark, sf, treatments=list(METHODS.values()))
+    report = me.binary_report(preds.filter(F.col("split") == "test"), ["seed"])
+    method = F.get(names, F.floor(F.col("seed") / RUN_STEP).cast("int"))
+    report = report.withColumn("method", method).withColumn("seed", F.col("seed") % RUN_STEP)
+    report = report.withColumns({c: F.round(c, 9) for c in sql.METRICS})
+    return report.select(F.lit("tfidf").alias("model"), "method", F.lit("bayes").alias("classifier"), "seed", *sql.METRICS)
 
 
 def _method_sql(method: str, k: int | None) -> str:

@@ -45,7 +45,7 @@ def tfidf_weights(spark, sf):
     FROM feat GROUP BY seed, split""",
 )
 def tfidf_undersampled(spark, sf):
-    rows, _ = study.weighed(spark, sf, undersample=1)
+    rows, _ = study.weighed(spark, sf, treatments=[1])
     long = rows.select("seed", "id", "split", F.inline("features"))
     return long.groupBy("seed", "split").agg(
         F.count("*").alias("n_weights"),

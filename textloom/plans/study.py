@@ -12,22 +12,23 @@ from ..schemas import SEEDS
 from .tables import documents, labelled, table
 
 
-def tokenized(spark: SparkSession, sf: str, seeds=SEEDS, undersample: int | None = None) -> DataFrame:
-    """Labelled documents with terms and one split per seed."""
-    rows = split.assign_stratified(labelled(spark, sf), seeds, undersample=undersample)
+def tokenized(spark: SparkSession, sf: str, seeds=SEEDS, treatments=(None,)) -> DataFrame:
+    """Labelled documents with terms and one split per run."""
+    rows = split.assign_treatments(labelled(spark, sf), seeds, list(treatments))
     return rows.select("id", "label", "assign", tx.terms(F.col("text")).alias("terms"))
 
 
-def weighed(spark: SparkSession, sf: str, seeds=SEEDS, undersample: int | None = None):
-    docs = tokenized(spark, sf, seeds, undersample)
-    model = tfidf.fit_tfidf(docs, seeds)
+def weighed(spark: SparkSession, sf: str, seeds=SEEDS, treatments=(None,)):
+    docs = tokenized(spark, sf, seeds, treatments)
+    runs = [split.run_key(place, seed) for place in range(len(treatments)) for seed in seeds]
+    model = tfidf.fit_tfidf(docs, runs)
     return tfidf.weigh(docs, model), model
 
 
-def bayes_predictions(spark: SparkSession, sf: str, seeds=SEEDS, undersample: int | None = None) -> DataFrame:
-    """Gaussian naive Bayes over TF-IDF on val and test of every seed."""
-    rows, model = weighed(spark, sf, seeds, undersample)
-    fitted = bayes.fit_bayes(rows, model.terms, len(model.words))
+def bayes_predictions(spark: SparkSession, sf: str, seeds=SEEDS, treatments=(None,)) -> DataFrame:
+    """Gaussian naive Bayes over TF-IDF on val and test of every run."""
+    rows, model = weighed(spark, sf, seeds, treatments)
+    fitted = bayes.fit_bayes(rows, model.terms)
     return bayes.predict_bayes(rows.filter(F.col("split").isin("val", "test")), fitted)
 
 

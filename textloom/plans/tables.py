@@ -10,33 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, by: str = "id") -> DataFrame:
-    """Use every core on a table that comes in fewer splits than there are cores.
+def spread(scan: DataFrame, by: str) -> DataFrame:
+    """Use every core on a table file that comes in fewer splits than there are cores.
 
-    Tables of many files or row groups, as on a cluster, pass unchanged.
+    Takes a bare scan, whose splits are known without running anything. Tables
+    of many files or row groups, as on a cluster, pass unchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
-
-
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that carry a label: ``(id, text, label, project, lang)``."""
-    documents = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
-    rows = documents.join(labels, "doc_id").select(
-        F.col("doc_id").alias("id"),
-        "text",
-        (1 - F.col("quality")).alias("label"),
-        F.col("source").alias("project"),
-        "lang",
-    )
-    return spread(rows)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, by) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(
+    scan = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), "text", "lang", F.col("source").alias("project")
     )
-    return spread(rows)
+    return spread(scan, "id")
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry a label: ``(id, text, label, project, lang)``."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("label")
+    )
+    return documents(spark, sf_dir).join(labels, "id")
