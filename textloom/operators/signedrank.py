@@ -73,7 +73,8 @@ def _normal_p(z: Column) -> Column:
         lambda acc: acc["sum"],
     )
     density = F.exp(-x * x / 2) / F.sqrt(2 * F.pi())
-    return F.when(x > 8, 0.0).otherwise(F.greatest(1 - 2 * density * series, F.lit(0.0)))
+    tail = 1 - 2 * density * series
+    return F.when(x > 8, 0.0).when(tail < 0, 0.0).otherwise(tail)
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame:
