@@ -178,7 +178,7 @@ def metrics_average(spark, sf):
 def vectors_text(spark, sf):
     path = scratch_path(spark, "vectors")
     rows = table(spark, sf, "embeddings")
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+    dim = len(rows.select("embedding").first()[0])
     words.write_vectors_text(
         rows.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").alias("vec")), path
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "textloom") -> SparkSession:
@@ -46,3 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has used."""
     unique = spark._jvm.java.util.UUID.randomUUID().toString()
     return f"{shared_dir(spark).rstrip('/')}/{name}-{unique}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder once and read it from there.
+
+    For results that several later steps use: they are computed once, their
+    lineage is cut, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
