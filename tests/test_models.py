@@ -137,7 +137,7 @@ def test_classifiers_by_name_predict_both_held_out_splits(spark, name):
 
 def test_unknown_classifier_is_refused():
     with pytest.raises(ValueError, match="unknown classifier"):
-        models.classifier("bigru")
+        models.classifier("gru")
 
 
 def test_word_vectors_have_the_asked_size_and_refuse_too_many(spark, monkeypatch):

@@ -41,7 +41,7 @@ def test_concatenated_sources_keep_their_order(spark, tmp_path):
 def test_json_arrays(spark, tmp_path):
     one = tmp_path / "one.json"
     one.write_text('[{"func": "f(){\\n}", "target": 1, "project": "p", "commit_id": "c", "extra": 2}]', encoding="utf-8")
-    rows = files.read_devign(spark, str(one), RAW_ONE_JSON).collect()
+    rows = files.read_labelled_json(spark, str(one), RAW_ONE_JSON).collect()
     assert [tuple(r) for r in rows] == [("f(){\n}", 1)]
     paths = {}
     for label in (1, 0):
@@ -72,23 +72,23 @@ def test_vocabulary_json_is_encoded_twice(spark, tmp_path):
 def test_results_tree_of_plain_folders(spark, tmp_path):
     header = ",".join(METRICS_CSV.fieldNames())
     for seed, f1 in ((123, 0.4), (456, 0.6)):
-        folder = tmp_path / "res" / "bert" / "forSequence" / str(seed)
+        folder = tmp_path / "res" / "bert" / "tuned" / str(seed)
         os.makedirs(folder)
         (folder / f"{seed}.csv").write_text(f"{header}\n0.1,0.2,0.3,{f1},0.5,0.6\n")
-    (tmp_path / "res" / "bert" / "forSequence" / "avg.csv").write_text(f"{header}\n9,9,9,9,9,9\n")
+    (tmp_path / "res" / "bert" / "tuned" / "avg.csv").write_text(f"{header}\n9,9,9,9,9,9\n")
     rows = results.read_metrics_tree(spark, str(tmp_path / "res")).orderBy("seed").collect()
     assert [(r["model"], r["method"], r["classifier"], r["seed"], r["f1"]) for r in rows] == [
-        ("bert", "forSequence", None, 123, 0.4),
-        ("bert", "forSequence", None, 456, 0.6),
+        ("bert", "tuned", None, 123, 0.4),
+        ("bert", "tuned", None, 456, 0.6),
     ]
 
 
 def test_results_tree_without_values(spark, tmp_path):
-    folder = tmp_path / "m" / "w2v" / "bigru" / "1"
+    folder = tmp_path / "m" / "w2v" / "gru" / "1"
     os.makedirs(folder)
     (folder / "1.csv").write_text(",".join(METRICS_CSV.fieldNames()) + "\n0.1,0.2,0.3,0.4,,0.6\n")
     row = results.read_metrics_tree(spark, str(tmp_path)).first()
-    assert (row["classifier"], row["seed"], row["f2"]) == ("bigru", 1, None)
+    assert (row["classifier"], row["seed"], row["f2"]) == ("gru", 1, None)
 
 
 def test_epochs_are_appended(spark, tmp_path):

@@ -45,25 +45,22 @@ def early_stopping(log: DataFrame, patience: int) -> DataFrame:
 
 
 def stop_and_best(log: DataFrame, patience: int) -> DataFrame:
-    """Per run: stop epoch (null without a stop), last epoch run, best epoch and score."""
-    replay = early_stopping(log, patience)
-    stops = replay.groupBy("run").agg(
-        F.min(F.when(F.col("stops"), F.col("epoch"))).alias("stop_epoch"), F.max("epoch").alias("_end")
-    )
-    upto = F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch"))
-    best = (
-        replay.filter("improved")
-        .join(stops.select("run", "stop_epoch"), "run")
-        .filter(upto)
-        .groupBy("run")
-        .agg(F.max("epoch").alias("best_epoch"), F.max("val_f1").alias("best_val_f1"))
-    )
-    return stops.join(best, "run").select(
+    """Per run: stop epoch (null without a stop), last epoch run, best epoch and score.
+
+    The best epoch up to the stop is the last one that improved, which the
+    replay carries on the stopping row, or on the last row without a stop.
+    """
+    best = F.greatest("best_before", "val_f1")
+    state = F.struct("epoch", F.col("last_improved").alias("best"), best.alias("score"))
+    ends = early_stopping(log, patience).groupBy("run")
+    ends = ends.agg(F.min(F.when(F.col("stops"), state)).alias("s"), F.max(state).alias("e"))
+    end = F.coalesce("s", "e")
+    return ends.select(
         "run",
-        "stop_epoch",
-        F.coalesce("stop_epoch", "_end").alias("last_epoch"),
-        "best_epoch",
-        "best_val_f1",
+        F.col("s.epoch").alias("stop_epoch"),
+        end["epoch"].alias("last_epoch"),
+        end["best"].alias("best_epoch"),
+        end["score"].alias("best_val_f1"),
     )
 
 

@@ -11,6 +11,7 @@ from ..operators import split
 from ..operators import tfidf as tf
 from ..operators import vocabulary as vo
 from ..schemas import SEEDS
+from ..session import kept
 from . import sql, study
 from .registry import query
 from .tables import documents, labelled, table
@@ -145,7 +146,8 @@ def _encoded(spark, sf):
     vocabulary = vo.build_vocabulary(docs, words)
     ids = vo.encode(docs, words, vocabulary)
     placed = split.stratified_split(docs.select("id", "label"), [SEED]).select("id", "split")
-    return ids.join(placed, "id"), vocabulary
+    # Read twice: for the longest train row and for the sequences themselves.
+    return kept(ids.join(placed, "id"), "ids"), vocabulary
 
 
 def _sequence_rows(rows):

@@ -30,7 +30,7 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_devign(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_labelled_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One JSON array with ``func`` and ``target`` as flat ``(func, vul)`` rows."""
     return read_json_array(spark, path, schema).select("func", F.col("target").alias("vul"))
 
