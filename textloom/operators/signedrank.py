@@ -9,8 +9,12 @@ ALPHA = 0.05
 EXACT_PAIRS = 50
 
 
-def paired_runs(rows: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+def paired_runs(
+    rows: DataFrame, metrics: list[str] | None = None, methods: list[str] | None = None
+) -> DataFrame:
     """All method pairs of ``(method, seed, metric, value)``, joined by seed."""
+    if methods:
+        rows = rows.filter(F.col("method").isin(methods))
     if metrics:
         rows = rows.filter(F.col("metric").isin(metrics))
     a = rows.select("seed", "metric", F.col("method").alias("method_a"), F.col("value").alias("a"))

@@ -99,7 +99,7 @@ def embedding_coverage(spark, sf):
     FROM tok JOIN vectors USING (word) GROUP BY id""",
 )
 def document_vectors(spark, sf):
-    rows = em.document_vectors(documents(spark, sf), tx.lower_words(F.col("text")), study.word_vectors(spark, sf))
+    rows = em.document_vectors(documents(spark, sf), tx.lower_words(F.col("text")), kept(study.word_vectors(spark, sf), "vectors"))
     return rows.select("id", "n_known", *spelled())
 
 
@@ -120,7 +120,7 @@ _GRAMS = """SELECT DISTINCT word, substr(m, i, n) AS gram FROM (SELECT word, m,
 def subword_vectors(spark, sf):
     """Vectors for the words of another table, most of them without one of their own."""
     wanted = table(spark, sf, "benchmark").select(F.explode(tx.lower_words(F.col("text"))).alias("word")).distinct()
-    rows = em.subword_vectors(wanted, study.word_vectors(spark, sf))
+    rows = em.subword_vectors(wanted, kept(study.word_vectors(spark, sf), "vectors"))
     return rows.select("word", *spelled())
 
 

@@ -28,8 +28,8 @@ def csv_round_trip(spark, sf):
 
 
 def write_json_arrays(df: DataFrame, columns: list[str], path: str) -> None:
-    """Files of one JSON array each, a thousand ids per array."""
-    chunks = df.withColumn("_chunk", F.floor(F.col("id") / 1000)).groupBy("_chunk")
+    """Files of one JSON array each, two hundred ids per array."""
+    chunks = df.withColumn("_chunk", F.floor(F.col("id") / 200)).groupBy("_chunk")
     arrays = chunks.agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
     arrays.write.mode("overwrite").partitionBy("_chunk").text(path)
 
