@@ -209,7 +209,7 @@ def test_lookup_beyond_the_broadcast_limit(spark, monkeypatch):
     tokens = rows.select("id", F.explode(tx.words(F.col("text"))).alias("word"))
     words = vo.build_vocabulary(rows.filter("id < 40"), tx.words(F.col("text")))
     whole = sorted(tuple(r) for r in vo.lookup_tokens(tokens, words, "left").select("id", "word", "token").collect())
-    monkeypatch.setattr(vo, "broadcast_if_small", lambda table: table)
+    monkeypatch.setattr(vo, "broadcast_if_small", lambda table, max_rows: table)
     monkeypatch.setattr(vo, "HEAD_WORDS", 1)
     parts = vo.lookup_tokens(tokens, words, "left").select("id", "word", "token").collect()
     assert sorted(map(tuple, parts)) == whole
@@ -376,3 +376,27 @@ def test_signed_rank_of_many_pairs_is_normal(spark):
     w = min(sum(d for d in differences if d > 0), -sum(d for d in differences if d < 0))
     z = (w - 60 * 61 / 4) / math.sqrt(60 * 61 * 121 / 24)
     assert math.isclose(test_of(spark, differences)["p"], math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-9)
+
+
+def test_vector_means_beyond_the_broadcast_limit(spark, monkeypatch):
+    rows = texts(spark, *["hot hot rare%d" % (i % 7) for i in range(40)])
+    vectors = [("hot", [1.0, 2.0])] + [(f"rare{i}", [float(i), 0.0]) for i in range(5)]
+    table = spark.createDataFrame(vectors, "word string, vec array<float>")
+    mean = lambda: sorted(
+        (r["id"], r["n_known"], tuple(round(x, 9) for x in r["vec"]))
+        for r in embeddings.document_vectors(rows, tx.words(F.col("text")), table).collect()
+    )
+    whole = mean()
+    assert whole[3] == (3, 3, (round(5 / 3, 9), round(4 / 3, 9))) and whole[5][1] == 2
+    monkeypatch.setattr(embeddings, "MAX_BROADCAST_VECTORS", 2)
+    monkeypatch.setattr(embeddings, "FREQUENT", 1)
+    assert mean() == whole
+
+
+def test_large_tables_are_not_pinned(spark):
+    from textloom.operators.bounded import pin_small
+
+    rows = spark.range(20)
+    assert pin_small(rows, 19) is rows
+    pinned = pin_small(rows, 20)
+    assert pinned is not rows and pinned.count() == 20

@@ -120,7 +120,7 @@ def weigh(docs: DataFrame, model: Tfidf) -> DataFrame:
     rows = (
         unnest_structs(counted, [*keep, "_raw"], "assign")
         .filter(F.col("split") != "dropped")
-        .join(model.idf, "seed")
+        .join(model.idf, "seed", "left")
         .select("seed", *keep, "split", F.filter(pairs, lambda p: p["weight"] > 0).alias("_w"))
     )
     norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, p: acc + p["weight"] * p["weight"]))

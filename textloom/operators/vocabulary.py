@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rows import unnest, unnest_structs
-from .bounded import broadcast_if_small, pin_small
+from .bounded import SMALL_ROWS, broadcast_if_small, pin_small
 from .ordering import global_rank, top_within
 
 HEAD_WORDS = 20_000
@@ -49,14 +49,16 @@ def extend_vocabulary(vocabulary: DataFrame, extra: list[str]) -> DataFrame:
     return vocabulary.unionByName(spark.createDataFrame(rows, "word string, id long, n long"))
 
 
-def join_words(rows: DataFrame, table: DataFrame, frequent, how: str = "inner") -> DataFrame:
+def join_words(
+    rows: DataFrame, table: DataFrame, frequent, how: str = "inner", max_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Join ``(…, word)`` with a table of one row per word, without a hot key.
 
     A table within the broadcast limit is broadcast whole. Beyond it only the
     rows of ``frequent()`` words are, a fixed number of them; each remaining
     word is rare, so their shuffle join has no hot key.
     """
-    hinted = broadcast_if_small(table)
+    hinted = broadcast_if_small(table, max_rows)
     if hinted is not table:
         return rows.join(hinted, "word", how)
     heads = pin_small(frequent().select("word"))
