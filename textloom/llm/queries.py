@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .secret_scan import secret_scan
+from .token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +23,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(files)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return secret_scan(documents, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_exact_dedup, op4_secret_scan)
+    q.__name__: q for q in (op1_exact_dedup, op3_token_files, op4_secret_scan, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": sql.EXACT_DEDUP, "op4_secret_scan": sql.SECRET_SCAN}
