@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .secret_scan import secret_scan
 from .token_files import read_token_files, write_token_files
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(files)
@@ -33,11 +39,22 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(_table(spark, sf_dir, "pages")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_exact_dedup, op3_token_files, op4_secret_scan, op10_best_fit_packing)
+    q.__name__: q for q in (
+        op1_exact_dedup,
+        op2_minhash_near_dedup,
+        op3_token_files,
+        op4_secret_scan,
+        op5_warc,
+        op10_best_fit_packing,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": sql.EXACT_DEDUP, "op4_secret_scan": sql.SECRET_SCAN}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": sql.EXACT_DEDUP, "op4_secret_scan": sql.SECRET_SCAN, "op5_warc": sql.WARC}

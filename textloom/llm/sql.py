@@ -50,3 +50,12 @@ SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in BASE)
   coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM documents LEFT JOIN per USING (doc_id)
 """
+
+WARC = """
+WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM t WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM t LEFT JOIN f USING (payload_digest)
+"""
