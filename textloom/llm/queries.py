@@ -12,6 +12,7 @@ from . import sql
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .passages import repeated_passages
 from .secret_scan import secret_scan
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
@@ -43,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(_table(spark, sf_dir, "pages")))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents")).drop("spans", "kept_text")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_files,
         op4_secret_scan,
         op5_warc,
+        op9_repeated_passages,
         op10_best_fit_packing,
     )
 }
