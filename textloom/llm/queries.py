@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -44,6 +45,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(_table(spark, sf_dir, "pages")))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.concat_ws(",", F.col("item_ids").cast("array<string>"))).drop("hits")
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).drop("spans", "kept_text")
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_files,
         op4_secret_scan,
         op5_warc,
+        op7_benchmark_decontamination,
         op9_repeated_passages,
         op10_best_fit_packing,
     )
