@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .langid import fit_langid, fold, predict_langid
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .passages import repeated_passages
@@ -50,6 +51,13 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumn("item_ids", F.concat_ws(",", F.col("item_ids").cast("array<string>"))).drop("hits")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) % 5 == 0
+    model = fit_langid(documents.filter(~held_out))
+    return predict_langid(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).drop("spans", "kept_text")
 
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_secret_scan,
         op5_warc,
         op7_benchmark_decontamination,
+        op8_language_id,
         op9_repeated_passages,
         op10_best_fit_packing,
     )
