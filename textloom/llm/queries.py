@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .passages import repeated_passages
 from .secret_scan import secret_scan
 from .token_files import read_token_files, write_token_files
+from .toxicity import fit_toxicity, predict_toxicity
 from .warc import read_warc, write_warc
 
 
@@ -46,6 +47,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(_table(spark, sf_dir, "pages")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) % 4 == 2
+    model = fit_toxicity(documents, _table(spark, sf_dir, "labels").filter(~held_out))
+    scored = predict_toxicity(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumn("item_ids", F.concat_ws(",", F.col("item_ids").cast("array<string>"))).drop("hits")
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_files,
         op4_secret_scan,
         op5_warc,
+        op6_toxicity,
         op7_benchmark_decontamination,
         op8_language_id,
         op9_repeated_passages,
