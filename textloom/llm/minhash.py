@@ -5,8 +5,10 @@ hash of its own and keeps the least (i, hash) of each bin, so a full round costs
 one step per shingle, and large sets fill all bins in one or two rounds; after
 ``BINS`` rounds, round ``BINS + j`` offers all shingles to bin j, which fills
 whatever is left. Coordinates agree with the probability of the Jaccard
-similarity and are concentrated as if they were independent. Bands of ``ROWS``
-coordinates give candidates; every link is confirmed on the full shingle sets.
+similarity and are concentrated as if they were independent. ``BANDS`` bands of
+``ROWS`` coordinates give candidates. Of these, pairs whose sketches agree in fewer
+coordinates than links do (but for some three links in a million, by the
+concentration) are discarded; every other one is confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start. In a band's bucket,
 classes are first compared with one hub, then, if they aren't linked yet, with
@@ -16,11 +18,12 @@ each other, so a large group of near copies costs a star, not all its pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
@@ -28,13 +31,18 @@ from .components import components
 from .shared_files import ready
 from .text_arrays import mix, shingle_sets, slices, utf8
 
-BINS = 128
-ROWS = 4
-_BIN_BITS = 57
+BINS = 512
+BANDS, ROWS = 32, 4
+_BIN_BITS = 55
+#: Deviations below the mean that a link's agreement may lie.
+DEVIATIONS = 4.5
+#: A coordinate's low bits, 15 coordinates to a long, to count agreement in SQL; bits that differ by chance agree 1 in 16.
+_PER_LONG, _LONGS = 15, -(-BINS // 15)
+_SEVENS, _EIGHTS = 0x0777777777777777, 0x0888888888888888
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 2 * BINS, dtype=np.uint64)
-_LOW = np.uint64(2**_BIN_BITS - 1)
 #: Hash bits kept beside the round's number.
-_VALUE = np.uint64(2**55 - 1)
+_VALUE_BITS = 54
+_VALUE = np.uint64(2**_VALUE_BITS - 1)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -45,14 +53,14 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     while done < BINS:
         rounds = max(1, min(BINS - done, 2048 // len(shingles)))
         hashed = mix(shingles[None, :] ^ _SEEDS[done : done + rounds, None])
-        number = np.arange(done, done + rounds, dtype=np.uint64)[:, None] << np.uint64(55)
+        number = np.arange(done, done + rounds, dtype=np.uint64)[:, None] << np.uint64(_VALUE_BITS)
         np.minimum.at(bins, (hashed >> np.uint64(_BIN_BITS)).ravel(), (number | (hashed & _VALUE)).ravel())
         done += rounds
         if (bins != empty).all():
             # Rounds that ran together with the last one needed change nothing: their numbers are larger.
             return bins
     for j in np.flatnonzero(bins == empty):
-        bins[j] = (np.uint64(BINS + j) << np.uint64(55)) | (mix(shingles ^ _SEEDS[BINS + j]) & _VALUE).min()
+        bins[j] = (np.uint64(BINS + j) << np.uint64(_VALUE_BITS)) | (mix(shingles ^ _SEEDS[BINS + j]) & _VALUE).min()
     return bins
 
 
@@ -65,17 +73,41 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def marks(coordinates: np.ndarray) -> np.ndarray:
+    """Four bits of every coordinate in ``_LONGS`` longs."""
+    low = np.zeros(_LONGS * _PER_LONG, np.uint64)
+    low[:BINS] = coordinates & np.uint64(15)
+    return (low.reshape(_LONGS, _PER_LONG) << (np.uint64(4) * np.arange(_PER_LONG, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def most_differences(threshold_percent: int) -> int:
+    """Coordinates in which the marks of a link differ at most."""
+    p = (1 - threshold_percent / 100) * 15 / 16
+    return math.ceil(BINS * p + DEVIATIONS * math.sqrt(BINS * p * (1 - p)))
+
+
+def differences(x: str, y: str) -> Column:
+    """Coordinates in which two array columns of marks differ: the high bit of each group tells whether it has any bit."""
+    total = F.lit(0)
+    for k in range(_LONGS):
+        bits = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        total = total + F.bit_count((bits.bitwiseAND(F.lit(_SEVENS)) + F.lit(_SEVENS)).bitwiseOR(bits).bitwiseAND(F.lit(_EIGHTS)))
+    return total
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(*utf8(batch.column("text")))
+        sketches = [sketch(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([bands(sketch(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([None if c is None else bands(c[: BANDS * ROWS]) for c in sketches], pa.list_(pa.int64())),
+                pa.array([None if c is None else marks(c) for c in sketches], pa.list_(pa.int64())),
             ],
-            names=["id", "n", "set_key", "bands"],
+            names=["id", "n", "set_key", "bands", "marks"],
         )
 
 
@@ -111,12 +143,12 @@ def near_duplicates(
     spark = docs.sparkSession
     ready(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, n long, set_key binary, bands array<long>"
+    schema = f"id {source.schema['id'].dataType.simpleString()}, n long, set_key binary, bands array<long>, marks array<long>"
     sets = kept(source.mapInArrow(_sketched, schema), "sketches")
 
     # Classes of equal sets, named by their smallest id; a class's rows share their bands.
     named = sets.filter("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = named.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     classes = kept(classes, "set-classes")
     placed = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
@@ -128,6 +160,8 @@ def near_duplicates(
         source.join(involved, "id").groupBy("id").agg(F.min("text").alias("text")), "candidate-texts"
     )
     hubs = members.filter("rep = hub").select("band", F.col("n").alias("hub_n")).distinct()
+    differ = most_differences(threshold_percent)
+    marked = lambda side: classes.select(F.col("rep").alias(side), F.col("marks").alias(f"marks_{side}"))
     close = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(threshold_percent) * F.greatest(x, y)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -141,6 +175,8 @@ def near_duplicates(
         members.filter("rep != hub").join(hubs, "band")
         .filter(close(F.col("n"), F.col("hub_n")))
         .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        .join(marked("b"), "b").join(marked("a"), "a").filter(differences("marks_a", "marks_b") <= differ)
+        .select("a", "b")
     )
     checked = confirmed(stars)
     links = checked.filter("linked").select("a", "b")
@@ -151,11 +187,15 @@ def near_duplicates(
         "band", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = sides.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    sides = kept(sides.join(mixed.select("band"), "band"), "open-members")
-    right = sides.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    sides = sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a").join(marked("a"), "a")
+    sides = kept(sides.select("band", "a", "n", "component", "marks_a"), "open-members")
+    right = sides.toDF("band", "b", "n_b", "component_b", "marks_b")
     rest = (
-        sides.withColumnRenamed("rep", "a").join(right, "band")
-        .filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & close(F.col("n"), F.col("n_b")))
+        sides.join(
+            right,
+            (sides["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b"))
+            & close(F.col("n"), F.col("n_b")) & (differences("marks_a", "marks_b") <= differ),
+        )
         .select("a", "b").distinct()
         .join(checked.select("a", "b"), ["a", "b"], "left_anti")
     )
