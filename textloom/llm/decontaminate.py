@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared_files import ready
@@ -155,6 +155,52 @@ class Items:
                 yield row, number, score, a, b
 
 
+def _best_hits(index: Items, column: pa.Array) -> Iterator[list[dict]]:
+    """Of each text, the best window of every item that it holds."""
+    data, offsets = utf8(column)
+    hashes, starts, ends, first = words(data, offsets)
+    best: dict[int, dict[int, tuple]] = defaultdict(dict)
+    for row, number, score, a, b in index.hits(hashes, first):
+        kept = best[row].get(number)
+        if kept is None or (score, -a) > (kept[0], -kept[1]):
+            best[row][number] = (score, a, b)
+    for row in range(len(column)):
+        yield [
+            {
+                "item_id": index.ids[number], "similarity": score,
+                "first_word": a - int(first[row]), "last_word": b - 1 - int(first[row]),
+                "begin": int(starts[a] - offsets[row]), "end": int(ends[b - 1] - offsets[row]),
+            }
+            for number, (score, a, b) in sorted(best.get(row, {}).items())
+        ]
+
+
+def benchmark_hits(benchmark: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text") -> Column:
+    """Array of the hits of a text column, computed where the row is; see ``decontaminate``."""
+    spark = benchmark.sparkSession
+    ready(spark)
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("long"), F.lit(-1)).alias("id"), F.col(item_text).alias("text")).filter("text != ''")
+    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-n_bytes // ITEM_BYTES)
+
+    def against(held) -> Column:
+        def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            index = Items(*held.value)
+            for column in columns:
+                hits: list[list[dict]] = []
+                for batch in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+                    hits += _best_hits(index, batch.column("text"))
+                yield pa.array(hits, _HITS)
+
+        return F.arrow_udf(judge, HITS)(text)
+
+    found = []
+    for k in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
+        found.append(against(spark.sparkContext.broadcast(([r["id"] for r in block], [r["text"] for r in block]))))
+    return F.concat(*found) if found else F.array().cast(HITS)
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -173,42 +219,8 @@ def decontaminate(
     reported each; a null item id is reported as -1. An empty benchmark leaves all
     clean; an empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("long"), F.lit(-1)).alias("id"), F.col(item_text).alias("text")).filter("text != ''")
-    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-n_bytes // ITEM_BYTES)
-
-    def judged(held):
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Items(*held.value)
-            for batch in slices(batches, "text"):
-                hashes, starts, ends, first = words(*utf8(batch.column("text")))
-                _, offsets = utf8(batch.column("text"))
-                best: dict[int, dict[int, tuple]] = defaultdict(dict)
-                for row, number, score, a, b in index.hits(hashes, first):
-                    kept = best[row].get(number)
-                    if kept is None or (score, -a) > (kept[0], -kept[1]):
-                        best[row][number] = (score, a, b)
-                hits = batch.column("hits").to_pylist()
-                for row, found in best.items():
-                    for number, (score, a, b) in found.items():
-                        hits[row].append(
-                            {
-                                "item_id": index.ids[number], "similarity": score,
-                                "first_word": a - int(first[row]), "last_word": b - 1 - int(first[row]),
-                                "begin": int(starts[a] - offsets[row]), "end": int(ends[b - 1] - offsets[row]),
-                            }
-                        )
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(hits, _HITS)], names=["id", "text", "hits"])
-
-        return judge
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(HITS).alias("hits"))
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        held = spark.sparkContext.broadcast(([r["id"] for r in block], [r["text"] for r in block]))
-        rows = rows.mapInArrow(judged(held), rows.schema)
+    hits = benchmark_hits(benchmark, F.col(text_col), item_id, item_text)
+    rows = docs.select(F.col(id_col).alias("id"), hits.alias("hits"))
     ids = F.array_sort(F.transform("hits", lambda h: h["item_id"]))
     return rows.select(
         F.col("id").alias(id_col),

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import kept
@@ -116,7 +116,7 @@ class Model:
     temperature: float
 
 
-def fold(ident) -> F.Column:
+def fold(ident: Column) -> Column:
     """crc32 of an id as text."""
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
 
@@ -205,22 +205,17 @@ def fit_langid(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return Model(languages, idf, weights, heat)
 
 
-def predict_langid(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``(id_col, lang_pred, score)`` and the columns to carry, one row per input row.
-
-    The score is the calibrated probability of the language. Null text, and text
-    without a letter, is ``und`` with score 0; so is everything if no language was learned.
-    """
-    spark = docs.sparkSession
+def language(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Struct of ``lang_pred`` and ``score`` of a text column, computed where the row is."""
     ready(spark)
     held = spark.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
-        for batch in slices(batches, "_text"):
+        for column in columns:
             names, scores = [], []
-            for text in batch.column("_text").to_pylist():
-                counts = features(text) if m.languages else None
+            for own in column.to_pylist():
+                counts = features(own) if m.languages else None
                 if counts is None:
                     names.append(UNKNOWN)
                     scores.append(0.0)
@@ -229,14 +224,16 @@ def predict_langid(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 best = int(p.argmax())
                 names.append(m.languages[best])
                 scores.append(float(p[best]))
-            rest = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "_lang", "_score"]
-            )
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    return F.arrow_udf(predict, "lang_pred string, score double")(text)
 
-    carry = carry or []
-    # Own names inside, so that no column of the table can clash with them.
-    rows = docs.select(F.struct(id_col, *carry).alias("_row"), F.col(text_col).alias("_text"))
-    kind = rows.select("_row").schema["_row"].dataType.simpleString()
-    found = rows.mapInArrow(predict, f"_row {kind}, _lang string, _score double")
-    return found.select("_row.*", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+def predict_langid(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, lang_pred, score)``, one row per input row.
+
+    The score is the calibrated probability of the language. Null text, and text
+    without a letter, is ``und`` with score 0; so is everything if no language was learned.
+    """
+    found = docs.select(F.col(id_col).alias("id"), language(docs.sparkSession, model, F.col(text_col)).alias("found"))
+    return found.select(F.col("id").alias(id_col), "found.lang_pred", "found.score")

@@ -150,7 +150,7 @@ def _page(name: bytes) -> int | None:
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """Of the candidates ``(path, at, next)``, the ``(path, at)`` that a chain from the start of their file reaches."""
+    """The ``(path, at)`` that a chain of candidates ``(path, at, next)`` reaches from the start of a file, its end included."""
     jumps = kept(candidates.select("path", "at", "next"), "jumps")
     most = jumps.groupBy("path").count().agg(F.max("count")).first()[0] or 0
     reached = jumps.filter("at = 0").select("path", "at")
