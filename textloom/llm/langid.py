@@ -183,7 +183,9 @@ def fit_langid(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def learn(key, pdf):
         import pandas as pd
 
-        pdf = pdf.assign(k=[zlib.crc32(a.tobytes()) for a in pdf["at"]]).sort_values("k", kind="stable")
+        # An order of the rows' own: learners see the same sequence however the rows were dealt.
+        own = [zlib.crc32(np.asarray(x, float).tobytes(), zlib.crc32(np.asarray(a, np.int32).tobytes())) for a, x in zip(pdf["at"], pdf["x"], strict=True)]
+        pdf = pdf.assign(k=own).sort_values("k", kind="stable")
         rows = [(np.asarray(a, np.int64), np.asarray(x, float)) for a, x in zip(pdf["at"], pdf["x"], strict=True)]
         w = fit_ftrl(rows, pdf["label"].to_numpy(), classes)
         return pd.DataFrame({"n": [len(pdf)], "w": [w.ravel()]})

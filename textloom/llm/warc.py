@@ -150,16 +150,16 @@ def _page(name: bytes) -> int | None:
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """The ``(path, at)`` that a chain of candidates ``(path, at, next)`` reaches from the start of a file, its end included."""
-    jumps = kept(candidates.select("path", "at", "next"), "jumps")
-    most = jumps.groupBy("path").count().agg(F.max("count")).first()[0] or 0
-    reached = jumps.filter("at = 0").select("path", "at")
+    """The ``(file, at)`` that a chain of candidates ``(file, at, next)`` reaches from the start of a file, its end included."""
+    jumps = kept(candidates.select("file", "at", "next"), "jumps")
+    most = jumps.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    reached = jumps.filter("at = 0").select("file", "at")
     steps = 1
     while steps < most:
-        onward = reached.join(jumps, ["path", "at"]).select("path", F.col("next").alias("at"))
+        onward = reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
         reached = kept(reached.union(onward), "reached")
-        further = jumps.select("path", F.col("at").alias("next"), F.col("next").alias("over"))
-        jumps = kept(jumps.join(further, ["path", "next"]).select("path", "at", F.col("over").alias("next")), "jumps")
+        further = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("over"))
+        jumps = kept(jumps.join(further, ["file", "next"]).select("file", "at", F.col("over").alias("next")), "jumps")
         steps *= 2
     return reached
 
@@ -201,8 +201,8 @@ def read_warc(files: DataFrame) -> DataFrame:
     )
     splits = splits.withColumn("end", F.least(F.col("begin") + SPLIT_BYTES, "n_bytes")).repartition("path", "begin")
     schema = "path string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    found = kept(splits.mapInArrow(find, schema), "record-candidates")
-    return found.join(reachable(found), ["path", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = kept(splits.mapInArrow(find, schema).withColumn("file", F.xxhash64("path")).drop("path"), "record-candidates")
+    return found.join(reachable(found), ["file", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _INT, _TEXT = pa.int64(), pa.string()
