@@ -130,11 +130,12 @@ def test_three_classes_are_not_undersampled(spark):
 def test_treatments_share_one_split(spark):
     rows = split.assign_treatments(labelled(spark, [60, 20]), [5, 6], [None, 1])
     long = rows.select("id", "label", F.inline("assign"))
-    runs = [split.run_key(place, seed) for place in (0, 1) for seed in (5, 6)]
+    numbered = {(place, seed): run for run, place, seed in split.runs_of([5, 6], [None, 1])}
+    runs = list(numbered.values())
     assert sorted(r[0] for r in long.select("seed").distinct().collect()) == sorted(runs)
     for seed in (5, 6):
-        plain = {r["id"]: r["split"] for r in long.filter(F.col("seed") == seed).collect()}
-        equal = {r["id"]: r["split"] for r in long.filter(F.col("seed") == split.run_key(1, seed)).collect()}
+        plain = {r["id"]: r["split"] for r in long.filter(F.col("seed") == numbered[0, seed]).collect()}
+        equal = {r["id"]: r["split"] for r in long.filter(F.col("seed") == numbered[1, seed]).collect()}
         assert {i: s for i, s in plain.items() if s != "train"} == {
             i: s for i, s in equal.items() if s in ("val", "test")
         }
@@ -248,7 +249,9 @@ def test_subwords_cover_unseen_words(spark):
     vectors = spark.createDataFrame([("abc", [2.0]), ("abd", [4.0])], "word string, vec array<float>")
     wanted = spark.createDataFrame([("abx",), ("qqq",)], "word string")
     # "abx" shares only the n-gram "<ab" with both known words.
-    assert [(r["word"], r["vec"]) for r in embeddings.subword_vectors(wanted, vectors).collect()] == [("abx", [3.0])]
+    # Nothing of "qqq" is known: zeros, as in a lookup that misses.
+    found = embeddings.subword_vectors(wanted, vectors).collect()
+    assert sorted((r["word"], r["vec"]) for r in found) == [("abx", [3.0]), ("qqq", [0.0])]
 
 
 # ---- metrics
@@ -363,12 +366,12 @@ test_of.__test__ = False
 def test_signed_rank(spark, differences, n, w, p):
     row = test_of(spark, differences)
     assert (row["n"], row["w"], round(row["p"], 6)) == (n, w, p)
-    assert row["verdict"].startswith("statistically") == (p < 0.05)
+    assert row["significant"] == (p < 0.05)
 
 
 def test_signed_rank_of_equal_runs(spark):
     row = test_of(spark, [0, 0, 0])
-    assert (row["n"], row["n_zero"], row["w"], row["p"], row["verdict"]) == (0, 3, None, None, None)
+    assert (row["n"], row["n_zero"], row["w"], row["p"], row["significant"]) == (0, 3, None, None, None)
 
 
 def test_signed_rank_of_many_pairs_is_normal(spark):
@@ -393,6 +396,44 @@ def test_vector_means_beyond_the_broadcast_limit(spark, monkeypatch):
     assert mean() == whole
 
 
+def test_documents_and_words_of_unknown_tokens_stay(spark):
+    rows = texts(spark, "hot", "unheard of", "")
+    table = spark.createDataFrame([("hot", [1.0, 2.0])], "word string, vec array<float>")
+    found = embeddings.document_vectors(rows, tx.words(F.col("text")), table).collect()
+    assert sorted((r["id"], r["n_known"], tuple(r["vec"])) for r in found) == [(0, 1, (1.0, 2.0)), (1, 0, (0.0, 0.0)), (2, 0, (0.0, 0.0))]
+    words = spark.createDataFrame([("hot",), ("zzzzz",)], "word string")
+    found = {r["word"]: tuple(r["vec"]) for r in embeddings.subword_vectors(words, table).collect()}
+    assert found == {"hot": (1.0, 2.0), "zzzzz": (0.0, 0.0)}
+
+
+def test_quotas_of_billions(spark):
+    counts = spark.createDataFrame([(0, 12_000_000_000, 1), (1, 3_000_000_000, 1)], "label int, n long, _one int")
+    found = split._quotas(counts.withColumn("size", F.lit(1_500_000_001)), "size", "take").collect()
+    assert {r["label"]: r["take"] for r in found} == {0: 1_200_000_001, 1: 300_000_000}
+
+
+def test_runs_keep_large_seeds(spark):
+    seeds = [20240601, 3_000_000_000]
+    runs = split.runs_of(seeds, [None, 1, 2])
+    assert len({run for run, _, _ in runs}) == 6 and {s for _, _, s in runs} == set(seeds)
+    assert split.runs_of(seeds, [1]) == [(s, 0, s) for s in seeds]
+    rows = split.assign_treatments(labelled(spark, [60, 20]), seeds, [None, 1])
+    assert {r[0] for r in rows.select(F.explode("assign.seed")).distinct().collect()} == {run for run, _, _ in split.runs_of(seeds, [None, 1])}
+
+
+def test_rows_without_a_label_are_refused(spark):
+    rows = labelled(spark, [30, 10]).withColumn("label", F.when(F.col("id") >= 4, F.col("label")))
+    with pytest.raises(ValueError, match="4 rows have no label"):
+        split.assign_stratified(rows, [1])
+
+
+def test_score_auc_of_billions_does_not_overflow(spark):
+    from textloom.operators import metrics
+
+    one = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.1), (1, 0, 0.9)], "seed int, label int, score double")
+    assert metrics.score_auc(one, ["seed"]).first()["auc"] == 0.75
+
+
 def test_large_tables_are_not_pinned(spark):
     from textloom.operators.bounded import pin_small
 

@@ -38,6 +38,25 @@ def test_concatenated_sources_keep_their_order(spark, tmp_path):
     assert [(r["split_file"], r["id"]) for r in rows] == [("train", 5), ("train", 3), ("val", 9)]
 
 
+def test_columns_are_taken_by_name_and_rows_numbered_in_file_order(spark, tmp_path):
+    first, second = tmp_path / "a", tmp_path / "b"
+    first.mkdir()
+    (first / "part-1.csv").write_text("index,commit_id,text,label,id,project\n" + "".join(f"9,c,t{i},1,{i},p\n" for i in range(3, 40)))
+    (first / "part-0.csv").write_text("index,commit_id,text,label,id,project\n0,c,t1,1,1,p\n1,c,t2,x,2,\n")
+    second.mkdir()
+    (second / "x.csv").write_text("project,id,label,text\nq,40,0,t40\n")
+    rows = files.with_ids(files.concat_csv(spark, {"a": str(first), "b": str(second)}, LABELLED).withColumnRenamed("id", "own"))
+    found = rows.orderBy("id").collect()
+    assert [(r["id"], r["own"], r["text"]) for r in found] == [(i, i + 1, f"t{i + 1}") for i in range(40)]
+    assert found[1]["label"] is None and found[1]["project"] is None and found[39]["project"] == "q"
+
+
+def test_header_of_single_numbers_is_not_a_word(spark, tmp_path):
+    path = str(tmp_path / "one")
+    words.write_vectors_text(spark.createDataFrame([("a", [1.0]), ("7", [1.0])], "word string, vec array<float>"), path)
+    assert sorted(r["word"] for r in words.read_vectors_text(spark, path, 1).collect()) == ["7", "a"]
+
+
 def test_json_arrays(spark, tmp_path):
     one = tmp_path / "one.json"
     one.write_text('[{"func": "f(){\\n}", "target": 1, "project": "p", "commit_id": "c", "extra": 2}]', encoding="utf-8")

@@ -172,7 +172,7 @@ def score_auc(preds: DataFrame, by: list[str]) -> DataFrame:
         .groupBy(*by)
         .agg(
             F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("_wins"),
-            (F.sum("pos") * F.sum("neg")).alias("_pairs"),
+            (F.sum("pos").cast("double") * F.sum("neg")).alias("_pairs"),
         )
         .select(*by, F.when(F.col("_pairs") > 0, F.col("_wins") / F.col("_pairs")).alias("auc"))
     )

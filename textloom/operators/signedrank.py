@@ -9,10 +9,19 @@ ALPHA = 0.05
 EXACT_PAIRS = 50
 
 
+def run_path() -> Column:
+    """``model/method[/classifier]`` of a result row."""
+    return F.concat_ws("/", "model", "method", "classifier")
+
+
 def paired_runs(
     rows: DataFrame, metrics: list[str] | None = None, methods: list[str] | None = None
 ) -> DataFrame:
-    """All method pairs of ``(method, seed, metric, value)``, joined by seed."""
+    """All method pairs of ``(method, seed, metric, value)``, joined by seed.
+
+    To compare runs of several models or classifiers, let ``method`` be their path
+    (``run_path``): a method must have one value per seed and metric.
+    """
     if methods:
         rows = rows.filter(F.col("method").isin(methods))
     if metrics:
@@ -111,7 +120,5 @@ def wilcoxon(pairs: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame
         "n_zero",
         "w",
         "p",
-        F.when(
-            F.col("p") < alpha, "statistically significant differentiation"
-        ).when(F.col("p").isNotNull(), "no statistical significance").alias("verdict"),
+        (F.col("p") < alpha).alias("significant"),
     )

@@ -41,9 +41,10 @@ def positional_split(df: DataFrame, ratio: float = RATIO) -> DataFrame:
 def _quotas(counts: DataFrame, size: str, name: str) -> DataFrame:
     """Largest-remainder share of ``size`` rows for each class, lower label first on ties."""
     counts = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("_one")))
-    product = F.col(size) * F.col("n")
-    counts = counts.withColumn("_floor", F.floor(product / F.col("_all")).cast("long"))
-    counts = counts.withColumn("_rest", product % F.col("_all"))
+    # Twenty digits times eighteen: the product of two counts never overflows.
+    product = f"CAST({size} AS DECIMAL(20,0)) * CAST(n AS DECIMAL(18,0))"
+    counts = counts.withColumn("_floor", F.expr(f"({product}) DIV _all"))
+    counts = counts.withColumn("_rest", F.expr(f"({product}) % CAST(_all AS DECIMAL(20,0))"))
     order = Window.partitionBy("_one").orderBy(F.desc("_rest"), "label")
     left = F.col(size) - F.sum("_floor").over(Window.partitionBy("_one"))
     extra = (F.row_number().over(order) <= left).cast("long")
@@ -77,8 +78,12 @@ def assign_stratified(df: DataFrame, seeds: list[int], ratio: float = RATIO) ->
     """Adds ``assign``: for each seed in order, ``struct<seed, split>``.
 
     One row per document whatever the number of seeds, so text is tokenized once.
+    Rows without a label belong to no class; a table that holds some is refused.
     """
     quotas = pin_small(class_quotas(df, ratio))
+    unlabelled = quotas.filter("label IS NULL").first()
+    if unlabelled:
+        raise ValueError(f"{unlabelled['n']} rows have no label; drop them or give them one before splitting")
     steps = F.array(
         F.struct(F.lit("test").alias("cut"), F.col("n_test").alias("rank")),
         F.struct(F.lit("val").alias("cut"), (F.col("n_test") + F.col("n_val")).alias("rank")),
@@ -103,18 +108,23 @@ def assign_stratified(df: DataFrame, seeds: list[int], ratio: float = RATIO) ->
 
 
 SURPLUS = "u"
-RUN_STEP = 10_000_000
 
 
-def run_key(treatment: int, seed: int) -> int:
-    """One number for a treatment's place and a seed."""
-    return treatment * RUN_STEP + seed
+def runs_of(seeds: list[int], treatments: list) -> list[tuple[int, int, int]]:
+    """``(run, treatment, seed)`` of a study: runs are numbered, treatment by treatment.
+
+    With one treatment a run is named by its seed. A run is never computed back into
+    a seed; this list, or a join with it, says what it stands for.
+    """
+    if len(treatments) == 1:
+        return [(seed, 0, seed) for seed in seeds]
+    return [(place * len(seeds) + slot, place, seed) for place in range(len(treatments)) for slot, seed in enumerate(seeds)]
 
 
 def assign_treatments(
     df: DataFrame, seeds: list[int], treatments: list[int | None], ratio: float = RATIO
 ) -> DataFrame:
-    """``assign`` with one entry per treatment and seed, its ``seed`` being their run key.
+    """``assign`` with one entry per treatment and seed, its ``seed`` being their run of ``runs_of``.
 
     A treatment is the undersampling ratio ``k``, or ``None`` for all train
     rows. Surplus train rows of the majority class get the split ``dropped``.
@@ -122,7 +132,8 @@ def assign_treatments(
     """
     df = assign_stratified(df, seeds, ratio)
     ratios = sorted({k for k in treatments if k})
-    df = df.withColumn("_keep", F.lit(None).cast("map<struct<seed:int,k:int>,string>"))
+    kind = df.schema["assign"].dataType.elementType["seed"].dataType
+    df = df.withColumn("_keep", F.lit(None).cast(f"map<struct<seed:{kind.simpleString()},k:int>,string>"))
     if ratios:
         train = unnest_structs(df, ["id", "label"], "assign").filter(F.col("split") == "train").drop("split")
         cuts = undersample_cuts(train, ratios)
@@ -131,13 +142,14 @@ def assign_treatments(
         df = df.drop("_keep").join(kept, "label", "left")
 
     def entries(place: int, k: int | None) -> Column:
-        def choose(e: Column) -> Column:
+        def choose(e: Column, slot: Column) -> Column:
             split = e["split"]
+            run = e["seed"] if len(treatments) == 1 else (slot + place * len(seeds)).cast(kind)
             if k:
                 last = F.col("_keep")[F.struct(e["seed"].alias("seed"), F.lit(k).alias("k"))]
                 surplus = (split == "train") & (seeded_key(e["seed"], F.col("id"), SURPLUS) > last)
                 split = F.when(F.coalesce(surplus, F.lit(False)), "dropped").otherwise(split)
-            return F.struct((e["seed"] + place * RUN_STEP).alias("seed"), split.alias("split"))
+            return F.struct(run.alias("seed"), split.alias("split"))
 
         return F.transform("assign", choose)
 

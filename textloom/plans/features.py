@@ -25,7 +25,7 @@ SEED = SEEDS[0]
     f"WITH {sql.SPLIT}, {sql.tfidf()} SELECT seed, term, cf::BIGINT AS cf, df, round(idf, 6) AS idf FROM idf",
 )
 def tfidf_terms(spark, sf):
-    docs = study.tokenized(spark, sf)
+    docs = kept(study.tokenized(spark, sf), "tokenized")
     terms = tf.fit_tfidf(docs, SEEDS).terms
     return terms.select("seed", "term", "cf", "df", F.round("idf", 6).alias("idf"))
 
@@ -95,8 +95,9 @@ def embedding_coverage(spark, sf):
 @query(
     "T7",
     f"""WITH {sql.DOCS}, {_VECTORS}, tok AS (SELECT id, unnest({sql.words('lower(text)')}) AS word FROM docs)
-    SELECT id, count(*) AS n_known, round(round(avg(vec[1]), 9), 4) AS v0, round(round(avg(vec[2]), 9), 4) AS v1, round(round(avg(vec[3]), 9), 4) AS v2
-    FROM tok JOIN vectors USING (word) GROUP BY id""",
+    SELECT d.id, count(vec) AS n_known, coalesce(round(round(avg(vec[1]), 9), 4), 0) AS v0, coalesce(round(round(avg(vec[2]), 9), 4), 0) AS v1,
+    coalesce(round(round(avg(vec[3]), 9), 4), 0) AS v2
+    FROM docs d LEFT JOIN (SELECT * FROM tok JOIN vectors USING (word)) k USING (id) GROUP BY d.id""",
 )
 def document_vectors(spark, sf):
     rows = em.document_vectors(documents(spark, sf), tx.lower_words(F.col("text")), kept(study.word_vectors(spark, sf), "vectors"))
@@ -115,7 +116,8 @@ _GRAMS = """SELECT DISTINCT word, substr(m, i, n) AS gram FROM (SELECT word, m,
       JOIN vectors USING (word) GROUP BY gram),
     parts AS (SELECT word, a, b, c FROM ({_GRAMS.format(source='wanted')}) JOIN known USING (gram)
       UNION ALL SELECT word, vec[1], vec[2], vec[3] FROM wanted JOIN vectors USING (word))
-    SELECT word, round(round(avg(a), 9), 4) AS v0, round(round(avg(b), 9), 4) AS v1, round(round(avg(c), 9), 4) AS v2 FROM parts GROUP BY word""",
+    SELECT word, coalesce(round(round(avg(a), 9), 4), 0) AS v0, coalesce(round(round(avg(b), 9), 4), 0) AS v1,
+    coalesce(round(round(avg(c), 9), 4), 0) AS v2 FROM wanted LEFT JOIN parts USING (word) GROUP BY word""",
 )
 def subword_vectors(spark, sf):
     """Vectors for the words of another table, most of them without one of their own."""
@@ -126,8 +128,9 @@ def subword_vectors(spark, sf):
 
 @query("T2 F3 F6")
 def word2vec(spark, sf):
-    corpus = em.sentences(labelled(spark, sf))
-    return em.train_word2vec(corpus)
+    """Vectors of the words that the train rows of one seed hold ten times."""
+    docs = split.stratified_split(labelled(spark, sf), [SEED]).filter(F.col("split") == "train")
+    return em.train_word2vec(em.sentences(docs))
 
 
 _IDS = f"""{sql.SPLIT}, one AS (SELECT id, split FROM split WHERE seed = {SEED}),

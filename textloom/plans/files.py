@@ -10,11 +10,12 @@ from ..operators import profile, split
 from ..operators import experiment as ex
 from ..operators import metrics as me
 from ..operators import vocabulary as vo
-from ..schemas import LABELLED, RAW_ONE_JSON, RAW_SPLIT_CSV, RAW_TWO_JSON, SEEDS
+from ..operators import signedrank as sr
+from ..schemas import LABELLED, METRIC_NAMES, RAW_ONE_JSON, RAW_SPLIT_CSV, RAW_TWO_JSON, SEEDS
 from ..session import scratch_path
 from ..sources import files, results, words
 from . import sql
-from .experiments import LOG, epoch_log
+from .experiments import LOG, PAIRS, RANKS, TEST, epoch_log
 from .registry import query
 from .tables import documents, labelled, table
 
@@ -28,8 +29,9 @@ def csv_round_trip(spark, sf):
 
 
 def write_json_arrays(df: DataFrame, columns: list[str], path: str) -> None:
-    """Files of one JSON array each, two hundred ids per array."""
-    chunks = df.withColumn("_chunk", F.floor(F.col("id") / 200)).groupBy("_chunk")
+    """Files of one JSON array each, as many as there are shuffle partitions."""
+    files_wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = df.withColumn("_chunk", F.pmod(F.xxhash64("id"), F.lit(files_wanted))).groupBy("_chunk")
     arrays = chunks.agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
     arrays.write.mode("overwrite").partitionBy("_chunk").text(path)
 
@@ -108,6 +110,29 @@ def pre_split_sources(spark, sf):
     return profile.class_balance(rows, ["split"]).select("split", "n_positive", "n_negative")
 
 
+@query(
+    "S1 S3 X1",
+    """WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS id FROM documents),
+    t AS (SELECT count(*) AS total, floor(0.1::DOUBLE * count(*))::BIGINT AS n FROM documents)
+    SELECT id, md5(text) AS digest, (doc_id % 2)::INTEGER AS target, source AS project,
+    CASE WHEN id >= total - n THEN 'test' WHEN id >= total - 2 * n THEN 'val' ELSE 'train' END AS split
+    FROM p JOIN documents USING (doc_id), t""",
+)
+def positional_split_of_files(spark, sf):
+    """Two CSV sources with other columns in other orders, put in file order and split by position."""
+    docs = documents(spark, sf).select(
+        "id", F.col("text").alias("processed_func"), (F.col("id") % 2).cast("int").alias("target"), "project", F.md5("text").alias("commit_id")
+    )
+    orders = {0: ["id", "commit_id", "processed_func", "target", "project"], 1: ["project", "target", "commit_id", "processed_func"]}
+    paths = {}
+    for part, columns in orders.items():
+        paths[f"part{part}"] = scratch_path(spark, f"part{part}-csv")
+        rows = docs.filter(F.col("target") == part).orderBy("id")
+        files.write_csv(rows.select(*columns), paths[f"part{part}"])
+    rows = split.positional_split(files.with_ids(files.concat_csv(spark, paths, RAW_SPLIT_CSV)))
+    return rows.select("id", F.md5("processed_func").alias("digest"), "target", "project", "split")
+
+
 @query("S4 P1", f"WITH {sql.LABELLED} SELECT md5(text) AS func, label AS vul FROM labelled")
 def flat_dataset(spark, sf):
     path = scratch_path(spark, "dataset")
@@ -148,17 +173,19 @@ def metrics_store(spark, sf):
     return rounded(results.read_metrics(spark, path)).select("model", "method", "classifier", "seed", *sql.METRICS)
 
 
-def _tree(spark, sf) -> DataFrame:
+def _tree(spark, sf) -> str:
+    """Folder of a results tree with its averages."""
     path = scratch_path(spark, "results")
     results.write_metrics_csv(rule_runs(spark, sf), path)
     rows = results.read_metrics_tree(spark, path)
-    results.write_average_csv(ex.average_metrics(rows, ["model"], "file").drop("n_files", "model"), path)
-    return results.read_metrics_tree(spark, path)
+    averages = ex.average_metrics(rows, ["model", "method"], "file")
+    results.write_average_csv(averages.select(*METRIC_NAMES, "n_files", "model", "method"), path)
+    return path
 
 
 @query("S6 F13", f"WITH {_RULES} SELECT 'rules' AS model, method, 'none' AS classifier, seed, {sql.rounded(sql.METRICS)} FROM rules")
 def metrics_tree(spark, sf):
-    return rounded(_tree(spark, sf)).drop("file")
+    return rounded(results.read_metrics_tree(spark, _tree(spark, sf))).drop("file")
 
 
 @query(
@@ -167,7 +194,36 @@ def metrics_tree(spark, sf):
     count(DISTINCT seed) AS n_files FROM rules GROUP BY method""",
 )
 def metrics_average(spark, sf):
-    return rounded(ex.average_metrics(_tree(spark, sf), ["model", "method"], "file"))
+    """Averages per model and method, written beside the runs and read back."""
+    return rounded(results.read_average_csv(spark, _tree(spark, sf)))
+
+
+_TWO_MODELS = f"""{sql.SPLIT}, guess AS (SELECT s.seed, s.label, m.method, (length(d.text) > m.bound)::INTEGER AS pred
+  FROM split s JOIN labelled d USING (id), (VALUES ('rules/long/none', 1500), ('shorter/long/none', 800)) m(method, bound)
+  WHERE s.split = 'test'),
+vals AS (SELECT method, seed, metric, round(value, 9) AS value FROM ({sql.binary('guess', 'method, seed')})
+  UNPIVOT (value FOR metric IN (accuracy, f1)))"""
+
+
+@query(
+    "S5 S6 J3 H1 H2",
+    f"""WITH {_TWO_MODELS}, {PAIRS}, {RANKS}, {TEST} SELECT method_a, method_b, metric, n, n_zero, w, round(p, 6) AS p,
+    p < 0.05 AS significant FROM t""",
+)
+def compare_result_trees(spark, sf):
+    """Two models of one method in a results tree, chosen by path and compared over the seeds."""
+    path = scratch_path(spark, "results")
+    rows = split.stratified_split(labelled(spark, sf).select("id", "label", F.length("text").alias("n")), SEEDS)
+    rows = rows.filter(F.col("split") == "test")
+    for model, bound in (("rules", 1500), ("shorter", 800), ("other", 100)):
+        preds = rows.select("seed", "label", (F.col("n") > bound).cast("int").alias("pred"))
+        report = me.binary_report(preds, ["seed"])
+        named = [F.lit(model).alias("model"), F.lit("long").alias("method"), F.lit("none").alias("classifier")]
+        results.write_metrics_csv(report.select(*named, "seed", *METRIC_NAMES), path)
+    tree = results.read_metrics_tree(spark, path).withColumn("method", sr.run_path())
+    values = ex.metric_rows(tree, ["method", "seed"]).withColumn("value", F.round("value", 9))
+    pairs = sr.paired_runs(values, ["accuracy", "f1"], ["rules/long/none", "shorter/long/none"])
+    return sr.wilcoxon(pairs, sr.PAIR).withColumn("p", F.round("p", 6))
 
 
 @query(

@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bayes, split, tfidf
+from ..operators import bayes, clean, split, tfidf
 from ..operators import vocabulary as vo
 from ..schemas import SEEDS
+from ..session import kept
 from .tables import documents, labelled, table
 
 
 def tokenized(spark: SparkSession, sf: str, seeds=SEEDS, treatments=(None,)) -> DataFrame:
-    """Labelled documents with terms and one split per run."""
-    rows = split.assign_treatments(labelled(spark, sf), seeds, list(treatments))
+    """Labelled documents with terms and one split per run.
+
+    Splits are drawn over all rows; rows with null or empty text then leave every one.
+    """
+    rows = clean.drop_null_text(split.assign_treatments(labelled(spark, sf), seeds, list(treatments)))
     return rows.select("id", "label", "assign", tx.terms(F.col("text")).alias("terms"))
 
 
 def weighed(spark: SparkSession, sf: str, seeds=SEEDS, treatments=(None,)):
-    docs = tokenized(spark, sf, seeds, treatments)
-    runs = [split.run_key(place, seed) for place in range(len(treatments)) for seed in seeds]
+    docs = kept(tokenized(spark, sf, seeds, treatments), "tokenized")
+    runs = [run for run, _, _ in split.runs_of(list(seeds), list(treatments))]
     model = tfidf.fit_tfidf(docs, runs)
     return tfidf.weigh(docs, model), model
 

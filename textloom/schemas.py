@@ -17,6 +17,7 @@ RAW_ONE_JSON = _schema(
 RAW_TWO_JSON = _schema(code=T.StringType(), project=T.StringType(), hash=T.StringType(), size=T.IntegerType())
 FLAT = _schema(func=T.StringType(), vul=T.IntegerType())
 
+# Column names of a metrics file.
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "f2", "roc_auc"]
 METRICS_CSV = _schema(**{name: T.DoubleType() for name in METRIC_NAMES})
 EPOCH_LOG = _schema(

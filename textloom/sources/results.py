@@ -37,7 +37,14 @@ def write_metrics_csv(metrics: DataFrame, path: str) -> None:
 
 
 def write_average_csv(averages: DataFrame, path: str) -> None:
-    averages.coalesce(1).write.mode("overwrite").csv(f"{path.rstrip('/')}/avg.csv", header=True)
+    """One file per model and method, apart from the runs: ``avg.csv/model=…/method=…``."""
+    averages.coalesce(1).write.mode("overwrite").partitionBy("model", "method").csv(f"{path.rstrip('/')}/avg.csv", header=True)
+
+
+def read_average_csv(spark: SparkSession, path: str) -> DataFrame:
+    schema = ", ".join(f"{name} DOUBLE" for name in METRICS_CSV.fieldNames())
+    rows = spark.read.schema(f"{schema}, n_files LONG, model STRING, method STRING")
+    return rows.csv(f"{path.rstrip('/')}/avg.csv", header=True)
 
 
 def read_metrics_tree(spark: SparkSession, path: str) -> DataFrame:

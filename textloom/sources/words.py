@@ -16,9 +16,21 @@ def write_vectors_text(vectors: DataFrame, path: str) -> None:
 
 
 def read_vectors_text(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """``(word, vec)``; lines without exactly ``dim`` numbers, as the header, are left out."""
+    """``(word, vec)``; lines without exactly ``dim`` numbers, as the header, are left out.
+
+    With one number per word the header looks like a word; it is the first line of
+    the first file if that is a count and the dimension.
+    """
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(parts.alias("parts")).filter(F.size("parts") == dim + 1)
+    rows = spark.read.text(path)
+    if dim == 1:
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        rows = rows.select("value", *place, F.monotonically_increasing_id().alias("pos"))
+        first = rows.filter("block = 0").agg(F.min(F.struct("file", "pos")).alias("at")).first()["at"]
+        if first:
+            header = (F.col("file") == first["file"]) & (F.col("pos") == first["pos"]) & F.col("value").rlike(r"^\d+\s+1\s*$")
+            rows = rows.filter(~header)
+    rows = rows.select(parts.alias("parts")).filter(F.size("parts") == dim + 1)
     return rows.select(
         F.get("parts", 0).alias("word"), F.slice("parts", 2, dim).cast("array<float>").alias("vec")
     )
