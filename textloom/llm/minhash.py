@@ -95,6 +95,11 @@ def differences(x: str, y: str) -> Column:
     return total
 
 
+def first_shared(x: str, y: str) -> Column:
+    """The first band that two array columns of bands share, null if none."""
+    return F.coalesce(*[F.when(F.col(x)[k] == F.col(y)[k], F.col(x)[k]) for k in range(BANDS)])
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(*utf8(batch.column("text")))
@@ -187,16 +192,19 @@ def near_duplicates(
         "band", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = sides.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    sides = sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a").join(marked("a"), "a")
-    sides = kept(sides.select("band", "a", "n", "component", "marks_a"), "open-members")
-    right = sides.toDF("band", "b", "n_b", "component_b", "marks_b")
+    sketches = classes.select(F.col("rep").alias("a"), F.col("marks").alias("marks_a"), F.col("bands").alias("bands_a"))
+    sides = sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a").join(sketches, "a")
+    sides = kept(sides.select("band", "a", "n", "component", "marks_a", "bands_a"), "open-members")
+    right = sides.toDF("band", "b", "n_b", "component_b", "marks_b", "bands_b")
+    # A pair that shares several bands comes out of the first one only.
+    once = first_shared("bands_a", "bands_b") == sides["band"]
     rest = (
         sides.join(
             right,
             (sides["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b"))
-            & close(F.col("n"), F.col("n_b")) & (differences("marks_a", "marks_b") <= differ),
+            & close(F.col("n"), F.col("n_b")) & (differences("marks_a", "marks_b") <= differ) & once,
         )
-        .select("a", "b").distinct()
+        .select("a", "b")
         .join(checked.select("a", "b"), ["a", "b"], "left_anti")
     )
     links = links.union(confirmed(rest).filter("linked").select("a", "b"))
