@@ -434,6 +434,13 @@ def test_score_auc_of_billions_does_not_overflow(spark):
     assert metrics.score_auc(one, ["seed"]).first()["auc"] == 0.75
 
 
+def test_buckets_stay_bounded():
+    from textloom.operators.ordering import digest_digits
+
+    assert digest_digits(0) == digest_digits(10**8) == 3
+    assert all(n / 16 ** digest_digits(n) <= 2**16 + 1 for n in (10**9, 10**11, 10**14))
+
+
 def test_large_tables_are_not_pinned(spark):
     from textloom.operators.bounded import pin_small
 

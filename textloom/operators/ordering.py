@@ -21,6 +21,14 @@ def seeded_key(seed: Column | int, ident: Column, salt: str = "") -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit(salt + "|"), ident.cast("string")))
 
 
+def digest_digits(rows: int) -> int:
+    """Leading digits that leave a bucket some 2**16 rows at most, three at least."""
+    digits = 3
+    while rows >> 4 * digits > 1 << 16:
+        digits += 1
+    return digits
+
+
 def digest_bucket(key: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
@@ -79,7 +87,8 @@ def position_within(
 def shuffled_position(df: DataFrame, seed: Column | int, salt: str = "", name: str = "pos") -> DataFrame:
     """Position of every row in the seeded shuffle of the table."""
     df = df.withColumn("_key", seeded_key(seed, F.col("id"), salt))
-    return position_within(df, [], digest_bucket(F.col("_key")), ["_key", "id"], name).drop("_key")
+    bucket = digest_bucket(F.col("_key"), digest_digits(df.count()))
+    return position_within(df, [], bucket, ["_key", "id"], name).drop("_key")
 
 
 def row_position(df: DataFrame, name: str = "pos") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import unnest_structs
 from .bounded import pin_small
-from .ordering import digest_bucket, page_of, rank_cuts, seeded_key
+from .ordering import digest_bucket, digest_digits, page_of, rank_cuts, seeded_key
 
 RATIO = 0.1
 
@@ -71,7 +71,7 @@ def _per_class_cuts(df: DataFrame, seeds: list[int], ranks: DataFrame, salt: str
     """``(seed, label, cut, at)`` for ranks given per seed and class."""
     keys = _seed_rows(df.select("id", "label"), seeds)
     keys = keys.withColumn("_key", seeded_key(F.col("seed"), F.col("id"), salt))
-    return rank_cuts(keys, ["seed", "label"], "_key", digest_bucket(F.col("_key")), ranks)
+    return rank_cuts(keys, ["seed", "label"], "_key", digest_bucket(F.col("_key"), digest_digits(df.count())), ranks)
 
 
 def assign_stratified(df: DataFrame, seeds: list[int], ratio: float = RATIO) -> DataFrame:
@@ -182,7 +182,7 @@ def undersample_cuts(train: DataFrame, ratios: list[int]) -> DataFrame:
     ]
     ranks = pin_small(reduce(DataFrame.unionByName, ranks))
     keys = train.select("seed", "label", seeded_key(F.col("seed"), F.col("id"), SURPLUS).alias("_key"))
-    cuts = rank_cuts(keys, ["seed", "label"], "_key", digest_bucket(F.col("_key")), ranks)
+    cuts = rank_cuts(keys, ["seed", "label"], "_key", digest_bucket(F.col("_key"), digest_digits(train.count())), ranks)
     return cuts.withColumnRenamed("cut", "k")
 
 
