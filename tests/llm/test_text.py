@@ -104,6 +104,29 @@ def test_decontamination_in_several_blocks(spark, monkeypatch):
     assert parts == whole
 
 
+def test_decontamination_finds_windows_whose_shingles_lie_at_other_places(spark):
+    parts = {k: (prose(80 + k, 20), prose(90 + k, 20)) for k in range(4)}
+    items = [(k, f"{a} {b}") for k, (a, b) in parts.items()]
+    rows = [(k, f"{prose(100 + k, 200)} {b} {a} {prose(110 + k, 150)}") for k, (a, b) in parts.items()]
+    rows += [(10, f"{rows[0][1]} {rows[1][1]}"), (11, f"{parts[2][1]} {parts[2][0]}"), (12, f"{prose(120, 60)} {parts[0][0]} {prose(121, 60)}"), (13, "ta " * 300)]
+    items += [(4, "ta " * 30), (5, prose(122, 1))]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"]: r for r in decon.decontaminate(docs, benchmark).collect()}
+    want = brute.leaks(rows, items[:5])
+    assert want[0] == {0} and want[10] == {0, 1}
+    one = {i: {5} if items[5][1] in t.split() else set() for i, t in rows}
+    assert {i: set(r["item_ids"]) for i, r in found.items()} == {i: want[i] | one[i] for i in want}
+    assert [h["first_word"] for h in found[0]["hits"] if h["item_id"] == 0] == [200]
+    assert [h["first_word"] for h in found[13]["hits"] if h["item_id"] == 4] == [0]
+
+
+def test_sliding_fingerprints_are_those_of_the_windows():
+    hashes = np.random.Generator(np.random.PCG64(4)).integers(0, 2**64, 200, dtype=np.uint64)
+    for length in (1, 5, 64, 200):
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, length)
+        assert (decon.sliding_fingerprints(hashes, length) == decon.fingerprints(windows)).all()
+
+
 def test_fingerprints_within_the_radius_are_always_found():
     index = decon.Items(list(range(40)), [prose(k, 20) for k in range(40)])
     numbers, marks = index.prints[20]

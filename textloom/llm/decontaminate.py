@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted similarity.
 
 Documents are compared with the benchmark's items, a stated query set that is taken
-in blocks of bounded size. A window has as many words as an item and lies where
-the two share a shingle; a window that shares none has similarity 0, so nothing
-else needs a fingerprint. Fingerprints have ``BITS`` bits of the window's words.
+in blocks of bounded size. A window has as many words as an item. It gets a
+fingerprint wherever it starts, unless the shingles that it shares with items of its
+size weigh too little for the threshold even if one item held them all. Fingerprints
+have ``BITS`` bits of the window's words.
 They are cut into ``RADIUS + 1`` blocks: two that differ in at most ``RADIUS`` bits
 agree in a block, so looking up every block finds all items within the radius.
 Each candidate is then judged by the weighted Jaccard similarity of the two
@@ -36,6 +37,8 @@ ITEM_BYTES = 8 << 20
 HITS = "array<struct<item_id:long,similarity:double,first_word:long,last_word:long,begin:long,end:long>>"
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), *[(n, pa.int64()) for n in ("first_word", "last_word", "begin", "end")]]))
 _FILTER_BITS = 22
+#: More than the rounding of a sum of weights.
+SLACK = 1e-6
 
 
 def fingerprints(windows: np.ndarray) -> np.ndarray:
@@ -50,12 +53,39 @@ def fingerprints(windows: np.ndarray) -> np.ndarray:
     return out
 
 
+def sliding_fingerprints(hashes: np.ndarray, length: int) -> np.ndarray:
+    """SimHash of every run of ``length`` words."""
+    mixed, n = mix(hashes), len(hashes) - length + 1
+    out = np.zeros(n, np.uint64)
+    for place in np.arange(BITS, dtype=np.uint64):
+        sums = np.concatenate(([0], np.cumsum((mixed >> place) & np.uint64(1), dtype=np.int64)))
+        out |= (2 * (sums[length:] - sums[:n]) > length).astype(np.uint64) << place
+    return out
+
+
+def _window_sums(values: np.ndarray, span: int) -> np.ndarray:
+    sums = np.concatenate(([0.0], np.cumsum(values)))
+    return sums[span:] - sums[:-span]
+
+
+def _heavy(begin: np.ndarray, end: np.ndarray, weight: np.ndarray, need: float) -> Iterator[tuple[int, int]]:
+    """Maximal ranges of places where the weights of the intervals ``[begin, end)`` that cover them sum up to ``need``."""
+    at = np.concatenate((begin, end))
+    order = np.argsort(at, kind="stable")
+    at, total = at[order], np.cumsum(np.concatenate((weight, -weight))[order])
+    last = np.flatnonzero(np.concatenate((at[1:] != at[:-1], [True]))) if len(at) else order
+    at, enough = at[last], total[last] >= need
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], enough, [False])).astype(np.int8)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        yield int(at[a]), int(at[b])
+
+
 class Items:
     """Index of a block of items."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         hashes, _, _, first = words(*utf8(pa.array(texts, pa.string())))
-        self.ids, self.size, self.shingles, anchors = [], [], [], defaultdict(list)
+        self.ids, self.size, self.shingles, anchors = [], [], [], defaultdict(set)
         by_length: dict[int, list[int]] = defaultdict(list)
         own_words = []
         for item, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -69,15 +99,18 @@ class Items:
             self.shingles.append(Counter(grams.tolist()))
             own_words.append(hashes[a:b])
             by_length[b - a].append(number)
-            for j, g in enumerate(grams.tolist()):
-                anchors[size, g].append((b - a, j))
+            for g in grams.tolist():
+                anchors[size, g].add(b - a)
         held = Counter(g for s in self.shingles for g in s)
         n = len(self.ids)
         self.weight = {g: float(np.log2(1 + n / k)) for g, k in held.items()}
         self.rare = float(np.log2(1 + n))
+        self.whole = [sum(self.weight[g] * k for g, k in s.items()) for s in self.shingles]
+        self.least = {length: min(self.whole[i] for i in numbers) for length, numbers in by_length.items()}
         self.sizes = sorted({size for size, _ in anchors})
-        self.anchors = {k: sorted(set(v)) for k, v in anchors.items()}
+        self.anchors = {k: sorted(v) for k, v in anchors.items()}
         self.known = {s: np.array(sorted(g for size, g in anchors if size == s), np.uint64) for s in self.sizes}
+        self.weights = {s: np.array([self.weight[g] for g in self.known[s].tolist()]) for s in self.sizes}
         self.filter = {}
         for s in self.sizes:
             self.filter[s] = np.zeros(1 << _FILTER_BITS, bool)
@@ -118,8 +151,9 @@ class Items:
         return both / whole if whole else 0.0
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-        """(row, item, similarity, first word, last word + 1) of every window of every row that is near an item."""
-        windows: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        """(row, item, similarity, first word, last word + 1) of windows near an item, the best of every row and item among them."""
+        held: dict[int, list[int]] = defaultdict(list)
+        weight: dict[int, list[float]] = defaultdict(list)
         for size in self.sizes:
             grams = combine(hashes, size)
             some = np.flatnonzero(self.filter[size][grams >> np.uint64(64 - _FILTER_BITS)])
@@ -128,21 +162,69 @@ class Items:
             at = np.searchsorted(self.known[size], grams[some])
             some = some[self.known[size][np.minimum(at, len(self.known[size]) - 1)] == grams[some]]
             rows = np.searchsorted(first, some, side="right") - 1
-            for p, row, g in zip(some.tolist(), rows.tolist(), grams[some].tolist(), strict=True):
-                a, b = int(first[row]), int(first[row + 1])
-                if p + size > b:
-                    continue
-                for length, j in self.anchors[size, g]:
-                    windows[length].add((row, max(a, min(p - j, b - length))))
-        for length, places in windows.items():
-            whole = sorted(x for x in places if x[1] + length <= first[x[0] + 1])
-            starts = np.array([s for _, s in whole], np.int64)
-            marks = fingerprints(hashes[starts[:, None] + np.arange(length)]) if len(whole) else []
-            for (row, s), mark in zip(whole, marks, strict=True):
-                yield from self._judged(row, s, s + length, hashes, self.near(length, mark))
+            some = some[some + size <= first[rows + 1]]
+            for p, g in zip(some.tolist(), grams[some].tolist(), strict=True):
+                for length in self.anchors[size, g]:
+                    held[length].append(p)
+                    weight[length].append(self.weight[g])
+        for length, places in held.items():
+            at, w = np.array(places, np.int64), np.array(weight[length])
+            rows = np.searchsorted(first, at, side="right") - 1
+            need = THRESHOLD * self.least[length] - SLACK
+            fits = first[rows + 1] - first[rows] >= length
+            begin = np.maximum(at + min(SHINGLE, length) - length, first[rows])[fits]
+            end = np.minimum(at, first[rows + 1] - length)[fits] + 1
+            for a, b in _heavy(begin, end, w[fits], need):
+                # Rows' starts may adjoin, if items have one word.
+                cuts = first[np.searchsorted(first, a, side="right") : np.searchsorted(first, b)]
+                for s, e in zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True):
+                    if s < e:
+                        yield from self._slid(int(np.searchsorted(first, s, side="right")) - 1, s, e, length, hashes)
             # A document of fewer words than the item is one window, too short for a print of that size.
-            for row, s in sorted(places.difference(whole)):
-                yield from self._judged(row, s, int(first[row + 1]), hashes, self.prints[length][0])
+            short, place = np.unique(rows[~fits], return_inverse=True)
+            for row, total in zip(short.tolist(), np.bincount(place, w[~fits], len(short)).tolist(), strict=True):
+                if total >= need:
+                    yield from self._judged(row, int(first[row]), int(first[row + 1]), hashes, self.prints[length][0])
+
+    def _slid(self, row: int, a: int, b: int, length: int, hashes: np.ndarray) -> Iterator[tuple]:
+        """The windows of a length that start in ``[a, b)``, all in one row: of every item near one, the best."""
+        step = max(1, (1 << 22) // BITS)
+        starts: dict[int, list[int]] = defaultdict(list)
+        for s in range(a, b, step):
+            e = min(b, s + step)
+            marks, where = np.unique(sliding_fingerprints(hashes[s : e + length - 1], length), return_inverse=True)
+            near = [self.near(length, mark).tolist() for mark in marks]
+            for k, mark in enumerate(where.tolist()):
+                for number in near[mark]:
+                    starts[number].append(s + k)
+        if not starts:
+            return
+        size = min(SHINGLE, length)
+        grams = combine(hashes[a : b + length - 1], size)
+        known, weights = self.known[size], self.weights[size]
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        weight = np.where(known[at] == grams, weights[at], self.rare)
+        span = length - size + 1
+        total = _window_sums(weight, span)
+        for number, places in sorted(starts.items()):
+            own = np.isin(grams, np.array(list(self.shingles[number]), np.uint64))
+            own = _window_sums(np.where(own, weight, 0.0), span)
+            places = np.array(places, np.int64)
+            # At most so much weight is in both: repeats within the window are not bounded by the item's.
+            both = np.minimum(own[places - a], self.whole[number])
+            most = both / (total[places - a] + self.whole[number] - both) + SLACK
+            best, best_at = 0.0, -1
+            for k in np.lexsort((places, -most)).tolist():
+                if most[k] < max(THRESHOLD, best):
+                    break
+                s = int(places[k])
+                if best >= 1.0 and s > best_at:
+                    continue
+                for found in self._judged(row, s, s + length, hashes, np.array([number])):
+                    if (found[2], -s) > (best, -best_at):
+                        best, best_at = found[2], s
+            if best_at >= 0:
+                yield row, number, best, best_at, best_at + length
 
     def _judged(self, row: int, a: int, b: int, hashes: np.ndarray, numbers: np.ndarray) -> Iterator[tuple]:
         grams: dict[int, Counter] = {}
