@@ -13,7 +13,7 @@ from textloom.llm import decontaminate as decon
 from textloom.llm import langid, secret_scan, toxicity
 
 from . import brute
-from .conftest import odd_rows, prose
+from .conftest import edited, odd_rows, prose
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -120,6 +120,17 @@ def test_decontamination_finds_windows_whose_shingles_lie_at_other_places(spark)
     assert [h["first_word"] for h in found[13]["hits"] if h["item_id"] == 4] == [0]
 
 
+def test_weights_do_not_depend_on_blocks(spark, monkeypatch):
+    template = prose(130, 24)
+    items = [(k, f"{template} {prose(140 + k, 12)}") for k in range(12)] + [(20, " \n"), (21, prose(160, 3))]
+    rows = [(k, f"{prose(170 + k, 30)} {edited(template, *range(0, 4 * (k % 4), 4))} {prose(140 + k, 12)} {prose(190 + k, 30)}") for k in range(12)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decon.decontaminate(docs, benchmark).collect())
+    assert 0 < sum(r["contaminated"] for r in whole)
+    monkeypatch.setattr(decon, "ITEM_BYTES", 300)
+    assert sorted(decon.decontaminate(docs, benchmark).collect()) == whole
+
+
 def test_sliding_fingerprints_are_those_of_the_windows():
     hashes = np.random.Generator(np.random.PCG64(4)).integers(0, 2**64, 200, dtype=np.uint64)
     for length in (1, 5, 64, 200):

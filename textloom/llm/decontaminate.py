@@ -8,7 +8,7 @@ have ``BITS`` bits of the window's words.
 They are cut into ``RADIUS + 1`` blocks: two that differ in at most ``RADIUS`` bits
 agree in a block, so looking up every block finds all items within the radius.
 Each candidate is then judged by the weighted Jaccard similarity of the two
-shingle multisets; a shingle that fewer items hold weighs more.
+shingle multisets; a shingle that fewer items of the whole benchmark hold weighs more.
 
 Documents never move: the items' index goes to the tasks, and each row is judged
 where it is.
@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .shared_files import ready
-from .text_arrays import combine, mix, slices, utf8, words
+from .text_arrays import combine, mix, shingle_sets, slices, utf8, words
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -81,9 +82,9 @@ def _heavy(begin: np.ndarray, end: np.ndarray, weight: np.ndarray, need: float)
 
 
 class Items:
-    """Index of a block of items."""
+    """Index of a block of items; ``n`` and ``shared`` (shingle -> items that hold it, if several) count the whole benchmark."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], n: int | None = None, shared: dict[int, int] | None = None):
         hashes, _, _, first = words(*utf8(pa.array(texts, pa.string())))
         self.ids, self.size, self.shingles, anchors = [], [], [], defaultdict(set)
         by_length: dict[int, list[int]] = defaultdict(list)
@@ -102,7 +103,9 @@ class Items:
             for g in grams.tolist():
                 anchors[size, g].add(b - a)
         held = Counter(g for s in self.shingles for g in s)
-        n = len(self.ids)
+        if shared is not None:
+            held = {g: shared.get(g, 1) for g in held}
+        n = len(self.ids) if n is None else n
         self.weight = {g: float(np.log2(1 + n / k)) for g, k in held.items()}
         self.rare = float(np.log2(1 + n))
         self.whole = [sum(self.weight[g] * k for g, k in s.items()) for s in self.shingles]
@@ -276,11 +279,31 @@ def benchmark_hits(benchmark: DataFrame, text: Column, item_id: str = "item_id",
 
         return F.arrow_udf(judge, HITS)(text)
 
+    items = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks))).cast("long"))
+    n, shared = _shared(items) if blocks > 1 else (None, None)
     found = []
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        found.append(against(spark.sparkContext.broadcast(([r["id"] for r in block], [r["text"] for r in block]))))
-    return F.concat(*found) if found else F.array().cast(HITS)
+        block = items.filter(F.col("block") == k).orderBy("id", "text").collect()
+        own = None
+        if shared is not None:
+            counts = shared.filter(F.array_contains("blocks", F.lit(k).cast("long"))).select("gram", "k").toArrow()
+            own = dict(zip(counts["gram"].to_numpy().view(np.uint64).tolist(), counts["k"].to_pylist(), strict=True))
+        found.append(against(spark.sparkContext.broadcast(([r["id"] for r in block], [r["text"] for r in block], n, own))))
+    return F.array_sort(F.concat(*found)) if found else F.array().cast(HITS)
+
+
+def _shared(items: DataFrame) -> tuple[int, DataFrame]:
+    """Of the whole benchmark: items that have words, and ``(gram, k, blocks)`` of the shingles that ``k`` > 1 items hold."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(*utf8(batch.column("text")), SHINGLE)
+            block = np.repeat(batch.column("block").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.concatenate(sets).view(np.int64))], names=["block", "gram"])
+
+    n = items.filter(F.col("text").rlike(r"[^\x20\x09-\x0d]")).count()
+    held = items.select("block", "text").mapInArrow(grams, "block long, gram long")
+    return n, kept(held.groupBy("gram").agg(F.count("*").alias("k"), F.collect_set("block").alias("blocks")).filter("k > 1"), "item-shingles")
 
 
 def decontaminate(
