@@ -166,6 +166,27 @@ def test_archives_of_odd_pages(spark, monkeypatch):
     assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("split", [warc.SPLIT_BYTES, 50_000])
+def test_archives_of_long_urls(spark, monkeypatch, split):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", split)
+    urls = ["http://a", "data:text/plain," + "x" * 200_000, "http://b", "http://" + "ü" * 30_000, "http://c", "y" * 70_000]
+    bodies = ["one", "WARC/1.1\r\n" * 3, "WARC/1.1\r\nab: " + "z" * 100_000, "", "WARC/1.1\r\na: b\r\n" * 9000, "end"]
+    rows = [(i, u, b) for i, (u, b) in enumerate(zip(urls, bodies, strict=True))]
+    found = warc.read_warc(warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in found) == [(i, len(b)) for i, _, b in rows]
+
+
+def test_lost_records_are_an_error(spark):
+    files = warc.write_warc(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1))
+    path = files.first()["path"]
+    with open(path, "rb") as source:
+        data = source.read()
+    with open(path, "wb") as out:
+        out.write(data.replace(b"WARC/1.1\r\n", b"WARC/1.2\r\n").replace(b"WARC/1.2", b"WARC/1.1", 1))
+    with pytest.raises(RuntimeError, match="2 records written, 1 read"):
+        warc.read_warc(files)
+
+
 def test_archives_of_repeated_missing_and_no_pages(spark):
     body = prose(43, 40)
     rows = [(1, "u", body), (1, "u", body), (None, "u", body), (4, "u", body)]

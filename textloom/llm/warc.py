@@ -30,7 +30,7 @@ MARK = b"WARC/1.1\r\n"
 LEAST_REVISIT = 100
 #: A task starts another file beyond this size; a split of a file for reading.
 FILE_BYTES, SPLIT_BYTES = 16 << 20, 4 << 20
-#: A record's head is no longer than this.
+#: What a split reads beyond its end at first; a head that goes on is read to its end.
 HEAD_BYTES = 64 << 10
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NUMBER = re.compile(rb"\d{1,18}")
@@ -62,7 +62,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """Write one record per row; return the list of files ``(path, n_bytes)``.
+    """Write one record per row; return the list of files ``(path, n_bytes, n_records)``.
 
     Of equal payloads of at least ``LEAST_REVISIT`` bytes, the one with the smallest
     id is written in full; the others revisit it. Null and empty bodies are empty
@@ -88,12 +88,12 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         task, files = TaskContext.get().partitionId(), []
         where, root = place(folder)
         out = path = None
-        size = 0
+        size = records = 0
 
         def close() -> None:
             out.close()
             where.move(f"{path}.open", path)
-            files.append((path, size))
+            files.append((path, size, records))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -101,25 +101,27 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     close()
                     out = None
                 if out is None:
-                    path, size = f"{root}/part-{task:06d}-{uuid.uuid4().hex}.warc", 0
+                    path, size, records = f"{root}/part-{task:06d}-{uuid.uuid4().hex}.warc", 0, 0
                     out = where.open_output_stream(f"{path}.open")
                 data = record(row["id"], row["url"], row["body"].encode(), row["digest"], row["refers_to"])
                 out.write(data)
                 size += len(data)
+                records += 1
         if out is not None:
             close()
         if files:
-            yield pa.RecordBatch.from_pydict({"path": [f[0] for f in files], "n_bytes": [f[1] for f in files]})
+            yield pa.RecordBatch.from_pydict({name: [f[k] for f in files] for k, name in enumerate(("path", "n_bytes", "n_records"))})
 
-    return kept(rows.mapInArrow(write, "path string, n_bytes long"), "warc-files")
+    return kept(rows.mapInArrow(write, "path string, n_bytes long, n_records long"), "warc-files")
 
 
 def parse(head: bytes) -> dict[bytes, bytes] | None:
     """Fields of a record's head, names in lower case; None if it isn't one."""
-    lines = head.split(b"\r\n")[1:]
     fields = {}
-    for line in lines:
-        name, colon, value = line.partition(b":")
+    at = head.find(b"\r\n")
+    while at >= 0:
+        begin, at = at + 2, head.find(b"\r\n", at + 2)
+        name, colon, value = head[begin : at if at >= 0 else len(head)].partition(b":")
         if not colon or not name or name.strip() != name:
             return None
         fields[name.lower()] = value.strip()
@@ -129,10 +131,17 @@ def parse(head: bytes) -> dict[bytes, bytes] | None:
 def _candidates(source, size: int, begin: int, end: int) -> Iterator[tuple]:
     """Records that seem to start in ``[begin, end)`` of an open file."""
     data = source.read_at(min(end + HEAD_BYTES, size) - begin, begin)
-    at = data.find(MARK)
+    at, stop = data.find(MARK), -1
     while 0 <= at < end - begin:
-        stop = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
-        fields = parse(data[at:stop]) if stop >= 0 else None
+        if stop < at:  # else the blank line found last is this head's too
+            stop = data.find(b"\r\n\r\n", at)
+            while stop < 0 and begin + len(data) < size:
+                seen = len(data)
+                data += source.read_at(min(max(seen, HEAD_BYTES), size - begin - seen), begin + seen)
+                stop = data.find(b"\r\n\r\n", max(at, seen - 3))
+            if stop < 0:
+                return
+        fields = parse(data[at:stop])
         if fields is not None:
             block = begin + stop + 4
             length = int(fields[b"content-length"])
@@ -169,7 +178,8 @@ def read_warc(files: DataFrame) -> DataFrame:
 
     A response's digest and size are those of the payload as read; a revisit carries
     them in its head. Bytes that no chain from the file's start reaches are ignored;
-    an empty file, or one that doesn't begin with a record, has no records.
+    an empty file, or one that doesn't begin with a record, has no records. If the
+    list has ``n_records``, as that of ``write_warc``, other numbers are an error.
     """
     spark = files.sparkSession
     ready(spark)
@@ -202,7 +212,13 @@ def read_warc(files: DataFrame) -> DataFrame:
     splits = splits.withColumn("end", F.least(F.col("begin") + SPLIT_BYTES, "n_bytes")).repartition("path", "begin")
     schema = "path string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     found = kept(splits.mapInArrow(find, schema).withColumn("file", F.xxhash64("path")).drop("path"), "record-candidates")
-    return found.join(reachable(found), ["file", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = found.join(reachable(found), ["file", "at"])
+    if "n_records" in files.columns:
+        read = records.groupBy("file").agg(F.count("*").alias("n_read"))
+        wrong = files.withColumn("file", F.xxhash64("path")).join(read, "file", "left").filter("n_records != coalesce(n_read, 0)").select("path", "n_records", "n_read")
+        if row := wrong.first():
+            raise RuntimeError(f"{row['path']}: {row['n_records']} records written, {row['n_read'] or 0} read")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _INT, _TEXT = pa.int64(), pa.string()
