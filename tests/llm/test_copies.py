@@ -110,6 +110,26 @@ def test_passages_within_and_across_documents(spark):
     assert spans[4] == [(0, 100)] and spans[3] == []
 
 
+def test_passages_that_share_a_trigger_are_spread(spark, monkeypatch):
+    # A line whose window has the least hash of all, so that it is the trigger in any surroundings.
+    hashes = lambda t: passages.range_hashes(*(lambda d: (passages.prefix_sums(d), np.arange(len(d) - 31), np.arange(len(d) - 31) + 32))(np.frombuffer(t.encode(), np.uint8)))
+    line = min((prose(k, 40)[:32] for k in range(3000)), key=lambda t: int(hashes(t)[0]))
+    rows = [(i, f"{prose(500 + i, 30)} {line} {prose(900 + i, 30)}") for i in range(200)]
+    rows += [(300 + i, f"{prose(1500 + i, 9)} {rows[i][1][100 + i : 300]} {prose(1700 + i, 9)}") for i in range(20)]
+    parsed = [passages.phrases(np.frombuffer(t.encode(), np.uint8)) for _, t in rows[:200]]
+    hot = int(hashes(line)[0])
+    entries = np.zeros(sum(len(p[0]) for p in parsed), passages.ENTRY)
+    entries["trigger"], entries["phrase"] = np.concatenate([p[2] for p in parsed]), np.concatenate([p[3] for p in parsed])
+    entries["doc"] = np.repeat(np.arange(200), [len(p[0]) for p in parsed])
+    entries = entries[entries["trigger"] == hot]
+    assert len(entries) >= 150
+    sizes = [len(b) for batch in passages._sent(entries, np.zeros(len(entries), bool), 8) for b in batch.column("entries").to_pylist()]
+    assert len(sizes) == 8 and max(sizes) < sum(sizes) / 3
+    monkeypatch.setattr(passages, "STRING_BYTES", 10_000)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == brute.repeats(rows)
+
+
 def test_passages_of_repeated_ids_leave_one_copy(spark):
     text = prose(31, 60)
     found = passages.repeated_passages(spark.createDataFrame([(2, text), (2, text), (5, text), (None, None)], "doc_id long, text string")).collect()

@@ -18,14 +18,18 @@ a trigger's part of the dictionary:
   suffixes (of ``LENGTH`` bytes, the depth that matters) are sorted by hash, and of
   equal neighbours the parse gives the earliest place.
 
-Both steps send a task's hashes as flat arrays to the bucket that a trigger's hash
-chooses; within a task repeats of a phrase are settled before that, so a hot
-passage costs a bucket one entry per task.
+Both steps send a task's hashes as flat arrays to the bucket that the hash of the
+phrase or string chooses; within a task repeats of a phrase are settled before that,
+so a hot passage costs a bucket one entry per task. Nothing gathers a trigger's
+phrases: buckets leave their phrases in a file and report which triggers they hold,
+and hear which of these have several phrases in all. So a trigger that occurs in
+every document, each time in other surroundings, is spread over all buckets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .shared_files import ready
+from .shared_files import new_folder, place, ready
 from .text_arrays import mix, prefix_sums, range_hashes, slices, utf8
 
 LENGTH = 100
 WINDOW = 32
 #: Text bytes per bucket: a bucket gets some five times less in hashes.
 BUCKET_BYTES = 32 << 20
+#: Entries of strings per bucket.
+STRING_BYTES = 32 << 20
 #: A task settles repeats among so many phrases at a time.
 TASK_PHRASES = 1 << 19
 _ORDER = np.uint64(0xFFFFFFFFFFF00000)
@@ -101,8 +107,8 @@ def _settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sent(entries: np.ndarray, repeated: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Unsettled entries by bucket of their trigger, settled ones (bucket -1) as they are."""
-    bucket = (entries["trigger"] % np.uint64(buckets)).astype(np.int32)
+    """Unsettled entries by bucket of their phrase (or string), settled ones (bucket -1) as they are."""
+    bucket = (entries["phrase"] % np.uint64(buckets)).astype(np.int32)
     bucket[repeated] = -1
     order = np.argsort(bucket, kind="stable")
     entries, bucket = entries[order], bucket[order]
@@ -145,32 +151,99 @@ SPAN_NAMES = ["id", "starts", "strings", "triggers", "open"]
 SPANS = "id long, starts array<long>, strings array<long>, triggers array<long>, open boolean"
 
 
-def _judge(open_left: bool):
-    """Settle one bucket: repeated entries, and (if asked) the leaders of triggers with several phrases."""
+REPORTS = "path string, bucket int, own binary"
+#: What a bucket keeps of its phrases.
+LEADER = {"doc": "<i8", "start": "<i8", "strings": "<i4", "trigger": "<u8"}
+
+
+def _reported(triggers: np.ndarray) -> np.ndarray:
+    """31 bits of a trigger, times two: triggers that agree in them are opened without need, which changes no result."""
+    return (triggers >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
+
+
+def _judge(key, table):
+    """The repeated entries of one bucket."""
+    entries = np.concatenate([_unpacked(b) for b in table.column("entries").to_pylist()])
+    if key[0].as_py() >= 0:
+        entries, repeated = _settle(entries)
+        entries = entries[repeated]
+    return pa.Table.from_batches([_spans(entries, False)])
+
+
+def _judge_phrases(folder: str, buckets: int):
+    """The repeated phrases of one bucket; the others go to a file, and a report to the bucket of each trigger."""
 
     def judge(key, table):
-        parts = [_unpacked(b) for b in table.column("entries").to_pylist()]
-        entries = np.concatenate(parts)
         if key[0].as_py() < 0:
-            return pa.Table.from_batches([_spans(entries, False)])
-        entries, repeated = _settle(entries)
-        found = [_spans(entries[repeated], False)]
-        if open_left:
-            leaders = entries[~repeated]
-            several = np.zeros(len(leaders), bool)
-            near = leaders["trigger"][1:] == leaders["trigger"][:-1]
-            several[1:] |= near
-            several[:-1] |= near
-            found.append(_spans(leaders[several], True))
-        return pa.Table.from_batches(found)
+            return _wide(_judge(key, table), None, [], [])
+        entries, repeated = _settle(np.concatenate([_unpacked(b) for b in table.column("entries").to_pylist()]))
+        leaders = entries[~repeated]
+        leaders = leaders[np.lexsort((leaders["start"], leaders["doc"]))]
+        where, root = place(folder)
+        path = f"{root}/{uuid.uuid4().hex}"
+        with where.open_output_stream(path, compression="zstd") as out:
+            for name, kind in LEADER.items():
+                out.write(leaders[name].astype(kind).tobytes())
+        triggers, counts = np.unique(leaders["trigger"], return_counts=True)
+        bucket = (triggers % np.uint64(buckets)).astype(np.int32)
+        # The lowest bit says that this bucket has several phrases of the trigger already.
+        held = _reported(triggers) | (counts > 1).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        held, bucket = held[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        names = bucket[np.concatenate(([0], cuts))].tolist()
+        found = pa.Table.from_batches([_spans(entries[repeated], False)])
+        return _wide(found, path, names, [h.tobytes() for h in np.split(held, cuts)])
 
     return judge
 
 
-def _by_bucket(blobs: DataFrame, open_left: bool) -> DataFrame:
+def _wide(spans: pa.Table, path: str | None, buckets: list[int], own: list[bytes]) -> pa.Table:
+    """Spans and reports as rows of one table."""
+    reports = pa.table({"path": pa.array([path] * len(own), pa.string()), "bucket": pa.array(buckets, pa.int32()), "own": pa.array(own, pa.binary())})
+    parts = [spans, reports]
+    kinds = {f.name: f.type for part in parts for f in part.schema}
+    filled = [pa.table({n: part.column(n) if n in part.column_names else pa.nulls(len(part), k) for n, k in kinds.items()}) for part in parts]
+    return pa.concat_tables(filled)
+
+
+def _several(key, table):
+    """Of the triggers of one bucket, those with several phrases, to each file that holds one."""
+    parts = [np.frombuffer(b, "<u4") for b in table.column("own").to_pylist()]
+    held = np.concatenate(parts)
+    _, place_of = np.unique(held >> np.uint32(1), return_inverse=True)
+    several = np.bincount(place_of, 1 + (held & np.uint32(1)))[place_of] > 1
+    rows, at = [], 0
+    for path, part in zip(table.column("path").to_pylist(), parts, strict=True):
+        own = part[several[at : at + len(part)]]
+        at += len(part)
+        if len(own):
+            rows.append((path, own.tobytes()))
+    return pa.table({"path": pa.array([r[0] for r in rows], pa.string()), "own": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _opened(folder: str):
+    """The phrases of one file whose trigger has several."""
+
+    def opened(key, table):
+        where, _ = place(folder)
+        with where.open_input_stream(key[0].as_py(), compression="zstd") as source:
+            data = source.read()
+        n = len(data) // sum(np.dtype(k).itemsize for k in LEADER.values())
+        leaders, at = np.empty(n, list(LEADER.items())), 0
+        for name, kind in LEADER.items():
+            leaders[name] = np.frombuffer(data, kind, n, at)
+            at += n * np.dtype(kind).itemsize
+        asked = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("own").to_pylist()])
+        return pa.Table.from_batches([_spans(leaders[np.isin(_reported(leaders["trigger"]), asked & ~np.uint32(1))], True)])
+
+    return opened
+
+
+def _by_bucket(blobs: DataFrame, judge, schema: str) -> DataFrame:
     # Settled entries only change form: each row of them is a group of its own.
     key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("entries"), F.lit(1 << 30))).otherwise(F.col("bucket"))
-    return blobs.withColumn("bucket", key.cast("int")).groupBy("bucket").applyInArrow(_judge(open_left), SPANS)
+    return blobs.withColumn("bucket", key.cast("int")).groupBy("bucket").applyInArrow(judge, schema)
 
 
 def repeated_passages(
@@ -208,7 +281,14 @@ def repeated_passages(
             yield from _sent(*_settle(np.concatenate(held)), buckets)
 
     parsed = source.mapInArrow(parse, "bucket int, entries binary")
-    settled = kept(_by_bucket(parsed, True), "phrase-spans")
+    folder = new_folder(spark, "phrase-leaders")
+    settled = kept(_by_bucket(parsed, _judge_phrases(folder, buckets), f"{SPANS}, {REPORTS}"), "phrase-spans")
+    several = settled.filter("path IS NOT NULL").select("path", "bucket", "own").groupBy("bucket").applyInArrow(_several, "path string, own binary")
+    opened = kept(several.groupBy("path").applyInArrow(_opened(folder), SPANS), "open-spans")
+    where, root = place(folder)
+    where.delete_dir(root)
+    n_open = opened.agg(F.sum(F.aggregate("strings", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    string_buckets = max(buckets, -(-n_open * ENTRY.itemsize // STRING_BYTES))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -228,17 +308,17 @@ def repeated_passages(
                 held.append(entries)
                 n += len(entries)
                 if n >= TASK_PHRASES:
-                    yield from _sent(*_settle(np.concatenate(held)), buckets)
+                    yield from _sent(*_settle(np.concatenate(held)), string_buckets)
                     held, n = [], 0
         if n:
-            yield from _sent(*_settle(np.concatenate(held)), buckets)
+            yield from _sent(*_settle(np.concatenate(held)), string_buckets)
 
     flat = lambda name: F.flatten(F.collect_list(name)).alias(name)
-    questions = settled.filter("open").groupBy("id").agg(flat("starts"), flat("strings"), flat("triggers"))
+    questions = opened.groupBy("id").agg(flat("starts"), flat("strings"), flat("triggers"))
     again = source.join(questions, "id").mapInArrow(strings, "bucket int, entries binary")
-    finer = kept(_by_bucket(again, False), "string-spans")
+    finer = kept(_by_bucket(again, _judge, SPANS), "string-spans")
 
-    covered = settled.filter("NOT open").union(finer).groupBy("id").agg(flat("starts"), flat("strings"))
+    covered = settled.filter("path IS NULL").select(SPAN_NAMES).union(finer).groupBy("id").agg(flat("starts"), flat("strings"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
