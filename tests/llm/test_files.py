@@ -138,6 +138,22 @@ def test_best_fit_is_that_of_single_pieces(lengths):
     assert len(used) <= len(gaps) + max(1, len(gaps) // 10)
 
 
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 30)), max_size=12))
+def test_best_fit_opens_no_more_sequences_than_that_of_single_pieces(classes):
+    for counts in (dict(classes), {30: 2, 5: 2, 3: 3}):
+        used, gaps = {}, []
+        for length, rank, n, first, offset in sorted(packing.best_fit(counts, 40), key=lambda m: (-m[0], m[1])):
+            for k in range(first, first + n):
+                assert used.get(k, 0) == offset and offset + length <= 40
+                used[k] = offset + length
+        for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+            fit = min((g for g in gaps if g >= n), default=None)
+            if fit is not None:
+                gaps.remove(fit)
+            gaps.append((40 if fit is None else fit) - n)
+        assert sorted(40 - v for v in used.values()) == sorted(gaps)
+
+
 PAGES = "page_id long, url string, html string, path string, id long, at int"
 
 

@@ -4,9 +4,10 @@ Documents are cut into pieces of at most ``size`` ids. Pieces of one length are
 alike, and so are sequences with one gap, so both are first aggregated by size:
 at most ``size`` classes each, whatever the corpus. Rounds go down the sorted
 lengths; in each, the pieces still waiting look for their successor, the smallest
-gap that takes them; if more pieces than gaps meet, those of the lowest rank win,
-gaps are updated, and the losers look again. Only if no gap takes a length are
-new sequences opened. This is best fit in decreasing order. Every match is a
+gap that takes them; each sequence is filled with as many as it takes before the next
+one gets any, as the rest of a gap is smaller still; if more pieces than gaps meet,
+those of the lowest rank win, gaps are updated, and the losers look again. Only if no
+gap takes a length are new sequences opened. This is best fit in decreasing order. Every match is a
 range of ranks against a range of sequences, so pieces find theirs by their rank
 within their length alone: task by task, without moving text, ids or a hot
 length into one place.
@@ -90,16 +91,25 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
                 continue
             gap = gaps[at]
             first, n = ranges[gap][0]
-            won = min(n, waiting)
-            matches.append((length, rank, won, first, size - gap))
-            if won == n:
+            each = gap // length
+            won = min(n * each, waiting)
+            full, rest = divmod(won, each)
+            for layer in range(min(each, won)):
+                pieces = full + (layer < rest)
+                matches.append((length, rank, pieces, first, size - gap + layer * length))
+                rank += pieces
+            used = full + (rest > 0)
+            if used == n:
                 ranges[gap].popleft()
                 if not ranges[gap]:
                     gaps.pop(at)
             else:
-                ranges[gap][0] = [first + won, n - won]
-            put(gap - length, first, won)
-            rank, waiting = rank + won, waiting - won
+                ranges[gap][0] = [first + used, n - used]
+            if full:
+                put(gap - each * length, first, full)
+            if rest:
+                put(gap - rest * length, first + full, 1)
+            waiting -= won
     return matches
 
 
