@@ -1,4 +1,4 @@
-"""Repeated passages: prefix-free parsing into phrases, suffix order within the dictionary, earliest occurrence.
+"""Repeated passages: prefix-free parsing into phrases, hash groups instead of suffix arrays, earliest occurrence.
 
 Every byte that a ``LENGTH``-byte string covers is removed if the same string
 starts earlier (by document id, then by place). A rolling hash of ``WINDOW`` bytes
@@ -8,15 +8,16 @@ share theirs, and all strings that start in one stretch and share a trigger form
 a phrase: the bytes from the stretch's start to the end of its last string. The
 parse lists phrases as (trigger, phrase hash, place).
 
-Only strings with one trigger can be equal, so corpus order is needed only within
-a trigger's part of the dictionary:
+Only strings with one trigger can be equal. The suffix arrays of dictionary and parse
+are replaced by groups of equal hashes, as the earliest equal string needs no order by
+bytes:
 
 * Equal phrases hold equal strings. All occurrences but the earliest are removed
   whole, and the dictionary keeps one phrase each. On repetitive text this is
   nearly everything.
 * A trigger with one phrase is settled. Of triggers with several, the phrases'
-  suffixes (of ``LENGTH`` bytes, the depth that matters) are sorted by hash, and of
-  equal neighbours the parse gives the earliest place.
+  ``LENGTH``-byte strings are sorted by hash, and of equal neighbours the earliest
+  place is kept.
 
 Both steps send a task's hashes as flat arrays to the bucket that the hash of the
 phrase or string chooses; within a task repeats of a phrase are settled before that,
