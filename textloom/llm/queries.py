@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .clusters import cluster
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .langid import fit_langid, fold, predict_langid
+from .licenses import license_scan
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .passages import repeated_passages
@@ -19,6 +21,7 @@ from .secret_scan import secret_scan
 from .token_files import read_token_files, write_token_files
 from .toxicity import fit_toxicity, predict_toxicity
 from .warc import read_warc, write_warc
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_exact_dedup,
@@ -87,6 +102,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_repeated_passages,
         op10_best_fit_packing,
+        op11_license_scan,
+        op12_centroid_clustering,
+        op13_embedding_whitening,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": sql.EXACT_DEDUP, "op4_secret_scan": sql.SECRET_SCAN, "op5_warc": sql.WARC}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": sql.EXACT_DEDUP,
+    "op4_secret_scan": sql.SECRET_SCAN,
+    "op5_warc": sql.WARC,
+    "op11_license_scan": sql.LICENSE_SCAN,
+    "op12_centroid_clustering": sql.CLUSTERING,
+}

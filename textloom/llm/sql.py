@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .clusters import CLUSTERS, DIM, ROUNDS, SCALE
+from .license_rules import RULES, spread
+from .licenses import SEPARATORS
 from .secret_scan import BASE, KINDS, LIVE_OWNERS, LIVE_REPOSITORIES
 
 EXACT_DEDUP = """
@@ -59,3 +62,84 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first < page_id THEN first END AS refers_to
 FROM t LEFT JOIN f USING (payload_digest)
 """
+
+
+def _license_scan() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ",\n".join(
+        f"({i}, {quote(r.label)}, {quote(spread(r.pattern))}, [{', '.join(map(quote, r.keywords.split()))}], {r.priority}, {r.relevance}::DOUBLE, {r.base})"
+        for i, r in enumerate(RULES)
+    )
+    levels = sorted({r.priority for r in RULES})
+    suppressed = " OR ".join(
+        f"(priority = {n} AND coalesce(max(CASE WHEN priority <= {n} THEN stop END) OVER before, -1) >= stop)" for n in levels
+    )
+    return f"""
+WITH rules(rule, label, regex, keywords, priority, relevance, base) AS (VALUES {rules}),
+t AS (
+  SELECT doc_id, regexp_replace(' ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ',
+    '{SEPARATORS}', '  ', 'g') AS words FROM documents
+),
+opened AS (SELECT doc_id, words, rules.* FROM t JOIN rules ON list_has_any(string_split(words, '  '), keywords)),
+parts AS (
+  SELECT * EXCLUDE (words, regex, hits, gaps), unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i
+  FROM (SELECT *, regexp_extract_all(words, regex) AS hits, string_split_regex(words, regex) AS gaps FROM opened
+    WHERE regexp_matches(words, regex))
+),
+counted AS (SELECT *, length(hit) - length(replace(hit, ' ', '')) AS own, length(gap) - length(replace(gap, ' ', '')) AS free FROM parts),
+spans AS (
+  SELECT *, (after - own) // 2 AS start, after // 2 AS stop
+  FROM (SELECT *, sum(own + free) OVER (PARTITION BY doc_id, rule ORDER BY i)::BIGINT AS after FROM counted)
+),
+judged AS (
+  SELECT *, ({suppressed}) AS inside FROM spans
+  WINDOW before AS (PARTITION BY doc_id ORDER BY start, stop DESC, priority, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+per AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR NOT inside) AS labels,
+    max(relevance) FILTER (NOT inside) AS score FROM judged GROUP BY 1
+)
+SELECT doc_id, (length(words) - length(replace(words, ' ', '')) - 2) // 2 AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM t LEFT JOIN per USING (doc_id)
+"""
+
+
+LICENSE_SCAN = _license_scan()
+
+
+def _clusters() -> str:
+    rounds = [f"""
+x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * {SCALE})::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda c: isfinite(c))) = {DIM}
+),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x AS c FROM x
+  WHERE vec_id IS NOT NULL ORDER BY k LIMIT {CLUSTERS}
+)"""]
+    apart = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    for n in range(ROUNDS + 1):
+        rounds.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT vec_id, x, first(k ORDER BY d, k) AS k, min(d) AS d FROM (SELECT vec_id, x, k, {apart} AS d FROM x CROSS JOIN c{n}) GROUP BY ALL
+)""")
+        if n < ROUNDS:
+            rounds.append(f"""
+m{n} AS (
+  SELECT k, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY j) AS c FROM (
+    SELECT k, j, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS m FROM (SELECT k, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM a{n}) GROUP BY k, j
+  ) GROUP BY k
+),
+c{n + 1} AS MATERIALIZED (SELECT k, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (k))""")
+    return f"""
+WITH {",".join(rounds)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} USING (k)
+"""
+
+
+CLUSTERING = _clusters()
