@@ -140,13 +140,10 @@ def test_unknown_classifier_is_refused():
         models.classifier("gru")
 
 
-def test_word_vectors_have_the_asked_size_and_refuse_too_many(spark, monkeypatch):
+def test_word_vectors_have_the_asked_size(spark):
     frame = spark.createDataFrame([(i, "int a = b ;\n}\nint c = a ;") for i in range(12)], "id long, text string")
     corpus = embeddings.sentences(frame)
     assert corpus.count() == 24
     rows = embeddings.train_word2vec(corpus, dim=7, min_count=12, epochs=1).collect()
     assert {r["word"] for r in rows} == {"int", "a", "b", "c", "=", ";"}
     assert {len(r["vec"]) for r in rows} == {7}
-    monkeypatch.setattr(embeddings, "MAX_TRAINED_FLOATS", 10)
-    with pytest.raises(ValueError, match="raise min_count"):
-        embeddings.train_word2vec(corpus, dim=7, min_count=12)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rows import unnest, unnest_structs
+from ..session import import_in_workers, kept
 from .bounded import SMALL_ROWS, broadcast_if_small, pin_small
 from .ordering import global_rank, top_within
 
-HEAD_WORDS = 20_000
+#: Words that are looked up in the row (by rank; of at most so many characters), 25 MB at most.
+HEAD_WORDS, LONGEST_HEAD = 100_000, 64
 
 
 def term_statistics(df: DataFrame, tokens: Column) -> DataFrame:
@@ -74,14 +82,83 @@ def lookup_tokens(tokens: DataFrame, vocabulary: DataFrame, how: str = "inner")
     return join_words(tokens, table, lambda: vocabulary.filter(F.col("id") <= HEAD_WORDS), how)
 
 
+def _coder(heads: pa.Table, keep_rare: bool):
+    """Arrow batches ``(id, tokens)`` to ``(row, id, ids, rare)``; a word that isn't among the heads is the negative place of it in ``rare``."""
+    words, numbers = heads.column("word").combine_chunks(), heads.column("id").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            lists = pc.fill_null(batch.column(1), []) if batch.column(1).null_count else batch.column(1)
+            flat = lists.flatten()
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = pc.index_in(flat, value_set=words)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            ids = np.zeros(len(flat), np.int64)
+            ids[known] = numbers[at.drop_null().to_numpy()]
+            stays, rare = known, pa.array([[]] * batch.num_rows, pa.list_(pa.string()))
+            if keep_rare:
+                other = ~known & flat.is_valid().to_numpy(zero_copy_only=False)
+                coded = flat.filter(pa.array(other)).dictionary_encode()
+                n = max(1, len(coded.dictionary))
+                pairs, back = np.unique(owner[other] * n + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+                first = np.searchsorted(pairs // n, np.arange(batch.num_rows + 1))
+                ids[other] = first[owner[other]] - back - 1
+                rare = pa.ListArray.from_arrays(first.astype(np.int32), coded.dictionary.take(pa.array(pairs % n)).cast(pa.string()))
+                stays = known | other
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner[stays], minlength=batch.num_rows)))).astype(np.int32)
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [rows, batch.column(0), pa.ListArray.from_arrays(ends, pa.array(ids[stays], pa.int32())), rare], names=["row", "id", "ids", "rare"]
+            )
+
+    return run
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches ``(id, ids, n_rare, places, tokens)`` to ``(id, ids)``: negative codes are looked up among the row's own answers or vanish."""
+    for batch in batches:
+        id_, ids, n_rare, places, tokens = batch.columns
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(batch.num_rows), ids.value_lengths().to_numpy(zero_copy_only=False))
+        base = np.concatenate(([0], np.cumsum(n_rare.to_numpy(zero_copy_only=False))))
+        answers = np.zeros(int(base[-1]), np.int64)
+        given = pc.fill_null(places.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        answers[base[np.repeat(np.arange(batch.num_rows), given)] + places.flatten().to_numpy(zero_copy_only=False)] = tokens.flatten().to_numpy(zero_copy_only=False)
+        unknown = flat < 0
+        flat[unknown] = answers[base[owner[unknown]] - flat[unknown] - 1]
+        stays = flat > 0
+        ends = np.concatenate(([0], np.cumsum(np.bincount(owner[stays], minlength=batch.num_rows)))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([id_, pa.ListArray.from_arrays(ends, pa.array(flat[stays], pa.int32()))], names=["id", "ids"])
+
+
 def encode(df: DataFrame, tokens: Column, vocabulary: DataFrame) -> DataFrame:
-    """``(id, ids)``: token ids in text order; unseen tokens vanish.
+    """``(id, ids)``: token ids in text order; unseen and null tokens vanish.
 
-    The vocabulary joins words, not rows, so the only wide step is bringing a
-    document's own ids together again. Documents left without a known token
-    keep an empty array.
+    Frequent words, a fixed number of bounded length, are looked up where the row is.
+    A vocabulary without other words needs no shuffle at all. Else each row's other
+    words, once each, are joined with the vocabulary, and only the answers and coded rows
+    meet again by row; places never leave the row. Documents without a known token,
+    or with a null token array, keep an empty array; rows that share an id stay apart.
     """
-    found = lookup_tokens(df.select("id", F.posexplode_outer(tokens).alias("pos", "word")), vocabulary, "left")
-    pairs = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))
-    ordered = F.transform(F.sort_array(pairs), lambda p: p["token"].cast("int"))
-    return found.groupBy("id").agg(ordered.alias("ids"))
+    spark = df.sparkSession
+    import_in_workers(spark)
+    short = F.length("word") <= LONGEST_HEAD
+    heads = vocabulary.filter((F.col("id") <= HEAD_WORDS) & short).select("word", "id").toArrow()
+    rest = vocabulary.filter((F.col("id") > HEAD_WORDS) | ~short).select("word", F.col("id").alias("token"))
+    more = not rest.isEmpty()
+    id_type = df.schema["id"].dataType.simpleString()
+    coded = df.select("id", tokens.alias("tokens")).mapInArrow(_coder(heads, more), f"row long, id {id_type}, ids array<int>, rare array<string>")
+    if not more:
+        return coded.select("id", "ids")
+    coded = kept(coded, "coded")
+    asked = coded.select("row", F.posexplode("rare").alias("place", "word"))
+    found = asked.join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("place", "token")).alias("found"))
+    none = F.array().cast("array<int>")
+    rows = coded.join(found, "row", "left").select(
+        "id", "ids", F.size("rare").alias("n_rare"),
+        F.coalesce(F.col("found.place"), none).alias("places"), F.coalesce(F.col("found.token").cast("array<int>"), none).alias("tokens"),
+    )
+    return rows.mapInArrow(_resolved, f"id {id_type}, ids array<int>")

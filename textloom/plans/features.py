@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import cbow
 from ..operators import embeddings as em
 from ..operators import sequences as sq
 from ..operators import split
@@ -133,6 +134,90 @@ def word2vec(spark, sf):
     return em.train_word2vec(em.sentences(docs))
 
 
+@query("T3 F3 F6")
+def subword_training(spark, sf):
+    """Vectors for the words of another table from trained n-gram buckets; words training didn't meet have some too."""
+    docs = split.stratified_split(labelled(spark, sf), [SEED]).filter(F.col("split") == "train")
+    wanted = table(spark, sf, "benchmark").select(F.explode(tx.lower_words(F.col("text"))).alias("word"))
+    return cbow.word_vectors(em.train_subwords(em.sentences(docs)), wanted)
+
+
+# One step of training on fixed vectors, windows of two words and fixed negatives, in four batches.
+_BUCKETS, _STEP_RATE = 1000, 0.05
+_START = {
+    "in": lambda j: f"((((key * 31 + {j * 17}) % 101 + 101) % 101) - 50) / 50.0::DOUBLE",
+    "out": lambda j: f"((((key * 13 + {j * 29}) % 97 + 97) % 97) - 48) / 48.0::DOUBLE",
+}
+
+
+def _step_sql(units: str) -> str:
+    """``units``: SQL for ``(wid, key)``, the input units of each word."""
+    per = lambda form, sep=", ": sep.join(form.format(j=j) for j in range(3))
+    start = lambda side: ", ".join(f"{_START[side](j)} AS {side[0]}{j}" for j in range(3))
+    return f"""WITH {sql.DOCS}, {sql.LABELLED},
+    lw AS (SELECT id, {sql.words('lower(text)')} AS w FROM labelled),
+    vocabulary AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS wid FROM
+      (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM lw) GROUP BY word)),
+    tok AS MATERIALIZED (SELECT id, pos, wid FROM (SELECT id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM lw) JOIN vocabulary USING (word)),
+    units AS MATERIALIZED ({units}),
+    inputs AS MATERIALIZED (SELECT key, {start('in')} FROM (SELECT DISTINCT key FROM units)),
+    outputs AS MATERIALIZED (SELECT key, {start('out')} FROM (SELECT wid AS key FROM vocabulary)),
+    ctx AS MATERIALIZED (SELECT t.id, t.pos, u.key FROM (SELECT *, unnest([-2, -1, 1, 2]) AS d FROM tok) t
+      JOIN tok c ON c.id = t.id AND c.pos = t.pos + t.d JOIN units u ON u.wid = c.wid),
+    hid AS MATERIALIZED (SELECT id, pos, {per('avg(i{j}) AS h{j}')} FROM ctx JOIN inputs USING (key) GROUP BY ALL),
+    asked AS (SELECT id, pos, wid, wid AS key, 1 AS label FROM tok UNION ALL
+      SELECT id, pos, wid, (id * 7 + pos * 13 + k * 5) % (SELECT count(*) FROM vocabulary) + 1, 0
+      FROM (SELECT *, unnest([0, 1]) AS k FROM tok)),
+    g AS MATERIALIZED (SELECT id, pos, key, {per('h{j}')}, {per('o{j}')}, {_STEP_RATE} * (label - 1 / (1 + exp(-({per('h{j} * o{j}', ' + ')})))) AS g
+      FROM asked JOIN hid USING (id, pos) JOIN outputs USING (key) WHERE label = 1 OR key <> wid),
+    back AS MATERIALIZED (SELECT id, pos, {per('sum(g * o{j}) AS b{j}')} FROM g GROUP BY ALL),
+    moves AS (SELECT 1 AS kind, id % 4 AS batch, key, count(*) AS m, {per('sum(g * h{j}) AS d{j}')} FROM g GROUP BY ALL UNION ALL
+      SELECT 0, id % 4, key, count(*), {per('sum(b{j})')} FROM ctx JOIN back USING (id, pos) GROUP BY 1, 2, 3),
+    means AS (SELECT kind, key, {per('sum(m * d{j}) / sum(m) AS d{j}')} FROM moves GROUP BY ALL),
+    before AS (SELECT 0 AS kind, key, {per('i{j} AS v{j}')} FROM inputs UNION ALL SELECT 1, key, {per('o{j}')} FROM outputs)
+    SELECT kind, key, {per('round(v{j} + coalesce(d{j}, 0), 6) AS v{j}')} FROM before LEFT JOIN means USING (kind, key)"""
+
+
+_OWN_UNIT = "SELECT wid, wid AS key FROM vocabulary"
+_GRAM_UNITS = f"""{_OWN_UNIT} UNION ALL
+      SELECT DISTINCT wid, -1 - ('0x' || substr(md5(gram), 1, 8))::BIGINT % {_BUCKETS}
+      FROM ({_GRAMS.format(source='vocabulary')}) JOIN vocabulary USING (word)"""
+
+
+def _step(spark, sf, units):
+    docs = labelled(spark, sf)
+    words = tx.lower_words(F.col("text"))
+    vocabulary = kept(vo.build_vocabulary(docs, words), "vocabulary")
+    size = vocabulary.count()
+    lexicon = kept(vocabulary.select("id", units(F.col("word"), F.col("id")).alias("units")), "lexicon")
+    start = lambda a, b, m, h: F.array(*[((F.pmod(F.col("key") * a + j * b, F.lit(m)) - h) / float(h)) for j in range(3)]).alias("vec")
+    inputs = lexicon.select(F.explode("units").alias("key")).distinct().select(F.lit(cbow.INPUT).alias("kind"), "key", start(31, 17, 101, 50))
+    outputs = lexicon.select(F.lit(cbow.OUTPUT).alias("kind"), F.col("id").alias("key"), start(13, 29, 97, 48))
+    rows = vo.encode(docs, words, vocabulary).withColumn("ids", F.col("ids").cast("array<long>"))
+
+    def example(i):
+        left = F.slice("ids", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)))
+        other = [(F.col("id") * 7 + i * 13 + k * 5) % size + 1 for k in (0, 1)]
+        return F.struct((F.col("id") * 1_000_000 + i).alias("key"), F.concat(left, F.slice("ids", i + 2, 2)).alias("context"), F.array(F.get("ids", i), *other).alias("targets"))
+
+    rows = rows.filter(F.size("ids") > 1)
+    examples = rows.select((F.col("id") % 4).alias("batch"), F.inline(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), example)))
+    after = cbow.cbow_step(inputs.unionByName(outputs), lexicon, kept(examples, "examples"), _STEP_RATE)
+    return after.select("kind", "key", *[F.round(F.get("vec", j), 6).alias(f"v{j}") for j in range(3)])
+
+
+@query("T2", _step_sql(_OWN_UNIT))
+def cbow_step(spark, sf):
+    """One step of training on every word of the labelled texts, from given vectors and on given negatives."""
+    return _step(spark, sf, cbow.word_unit)
+
+
+@query("T3", _step_sql(_GRAM_UNITS))
+def subword_step(spark, sf):
+    """The same with n-gram buckets beside the words."""
+    return _step(spark, sf, cbow.subword_units(em.grams, _BUCKETS))
+
+
 _IDS = f"""{sql.SPLIT}, one AS (SELECT id, split FROM split WHERE seed = {SEED}),
 lw AS (SELECT id, {sql.words('lower(text)')} AS w FROM labelled),
 vocabulary AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS wid FROM

@@ -43,6 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def import_in_workers(spark: SparkSession) -> None:
+    """Let local Python workers import the package from where the driver has it.
+
+    On a cluster the package is installed or sent with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has used."""
     unique = spark._jvm.java.util.UUID.randomUUID().toString()
