@@ -9,6 +9,7 @@ similarity and are concentrated as if they were independent. ``BANDS`` bands of
 ``ROWS`` coordinates give candidates. Of these, pairs whose sketches agree in fewer
 coordinates than links do (but for some three links in a million, by the
 concentration) are discarded; every other one is confirmed on the full shingle sets.
+Pairs inside a bucket that its hub leaves open pass a sketch four times as large first.
 
 Documents with equal sets are one class from the start. In a band's bucket,
 classes are first compared with one hub, then, if they aren't linked yet, with
@@ -33,34 +34,38 @@ from .text_arrays import mix, shingle_sets, slices, utf8
 
 BINS = 512
 BANDS, ROWS = 32, 4
-_BIN_BITS = 55
+#: A larger sketch for pairs that stars leave open: its marks have two bits a coordinate, thirty coordinates to a long.
+FINE_BINS, _FINE_PER_LONG = 2048, 30
+_ODD = 0x5555555555555555
 #: Deviations below the mean that a link's agreement may lie.
 DEVIATIONS = 4.5
 #: A coordinate's low bits, 15 coordinates to a long, to count agreement in SQL; bits that differ by chance agree 1 in 16.
 _PER_LONG, _LONGS = 15, -(-BINS // 15)
 _SEVENS, _EIGHTS = 0x0777777777777777, 0x0888888888888888
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 2 * BINS, dtype=np.uint64)
-#: Hash bits kept beside the round's number.
-_VALUE_BITS = 54
-_VALUE = np.uint64(2**_VALUE_BITS - 1)
+_FINE_SEEDS = np.random.Generator(np.random.PCG64(8)).integers(0, 2**64, 2 * FINE_BINS, dtype=np.uint64)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The ``BINS`` coordinates of a non-empty set of 64-bit hashes."""
+def sketch(shingles: np.ndarray, seeds: np.ndarray = _SEEDS) -> np.ndarray:
+    """The coordinates, half as many as seeds and a power of two, of a non-empty set of 64-bit hashes."""
+    size = len(seeds) // 2
+    index_bits = size.bit_length() - 1
+    value_bits = np.uint64(63 - index_bits)  # kept of a hash beside the round's number
+    value = np.uint64(2 ** int(value_bits) - 1)
     empty = np.uint64(2**64 - 1)
-    bins = np.full(BINS, empty)
+    bins = np.full(size, empty)
     done = 0
-    while done < BINS:
-        rounds = max(1, min(BINS - done, 2048 // len(shingles)))
-        hashed = mix(shingles[None, :] ^ _SEEDS[done : done + rounds, None])
-        number = np.arange(done, done + rounds, dtype=np.uint64)[:, None] << np.uint64(_VALUE_BITS)
-        np.minimum.at(bins, (hashed >> np.uint64(_BIN_BITS)).ravel(), (number | (hashed & _VALUE)).ravel())
+    while done < size:
+        rounds = max(1, min(size - done, 4 * size // len(shingles)))
+        hashed = mix(shingles[None, :] ^ seeds[done : done + rounds, None])
+        number = np.arange(done, done + rounds, dtype=np.uint64)[:, None] << value_bits
+        np.minimum.at(bins, (hashed >> np.uint64(64 - index_bits)).ravel(), (number | (hashed & value)).ravel())
         done += rounds
         if (bins != empty).all():
             # Rounds that ran together with the last one needed change nothing: their numbers are larger.
             return bins
     for j in np.flatnonzero(bins == empty):
-        bins[j] = (np.uint64(BINS + j) << np.uint64(_VALUE_BITS)) | (mix(shingles ^ _SEEDS[BINS + j]) & _VALUE).min()
+        bins[j] = (np.uint64(size + j) << value_bits) | (mix(shingles ^ seeds[size + j]) & value).min()
     return bins
 
 
@@ -80,10 +85,27 @@ def marks(coordinates: np.ndarray) -> np.ndarray:
     return (low.reshape(_LONGS, _PER_LONG) << (np.uint64(4) * np.arange(_PER_LONG, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def most_differences(threshold_percent: int) -> int:
+def fine_marks(coordinates: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate of a fine sketch."""
+    low = np.zeros(-(-FINE_BINS // _FINE_PER_LONG) * _FINE_PER_LONG, np.uint64)
+    low[:FINE_BINS] = coordinates & np.uint64(3)
+    return (low.reshape(-1, _FINE_PER_LONG) << (np.uint64(2) * np.arange(_FINE_PER_LONG, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def most_differences(threshold_percent: int, bins: int = BINS, bits: int = 4) -> int:
     """Coordinates in which the marks of a link differ at most."""
-    p = (1 - threshold_percent / 100) * 15 / 16
-    return math.ceil(BINS * p + DEVIATIONS * math.sqrt(BINS * p * (1 - p)))
+    p = (1 - threshold_percent / 100) * (1 - 2.0**-bits)
+    return math.ceil(bins * p + DEVIATIONS * math.sqrt(bins * p * (1 - p)))
+
+
+def fine_differences(x: str, y: str) -> Column:
+    """Coordinates in which two array columns of fine marks differ."""
+
+    def differing(a: Column, b: Column) -> Column:
+        bits = a.bitwiseXOR(b)
+        return F.bit_count(bits.bitwiseOR(F.shiftright(bits, 1)).bitwiseAND(F.lit(_ODD)))
+
+    return F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda total, n: total + n)
 
 
 def differences(x: str, y: str) -> Column:
@@ -116,6 +138,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _finely_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        marked = [fine_marks(sketch(s, _FINE_SEEDS)) for s in shingle_sets(*utf8(batch.column("text")))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marked, pa.list_(pa.int64()))], names=["a", "fine_a"])
+
+
 def _confirm(threshold_percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -193,16 +221,21 @@ def near_duplicates(
     )
     mixed = sides.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
     sketches = classes.select(F.col("rep").alias("a"), F.col("marks").alias("marks_a"), F.col("bands").alias("bands_a"))
-    sides = sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a").join(sketches, "a")
-    sides = kept(sides.select("band", "a", "n", "component", "marks_a", "bands_a"), "open-members")
-    right = sides.toDF("band", "b", "n_b", "component_b", "marks_b", "bands_b")
+    sides = kept(sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a"), "open-members")
+    kind = source.schema["id"].dataType.simpleString()
+    fine = texts.join(sides.select(F.col("a").alias("id")).distinct(), "id").mapInArrow(_finely_sketched, f"a {kind}, fine_a array<long>")
+    sketches = kept(sketches.join(fine, "a"), "open-sketches")
+    sides = sides.join(sketches, "a").select("band", "a", "n", "component", "marks_a", "bands_a", "fine_a")
+    right = sides.toDF("band", "b", "n_b", "component_b", "marks_b", "bands_b", "fine_b")
+    finely = most_differences(threshold_percent, FINE_BINS, 2)
     # A pair that shares several bands comes out of the first one only.
     once = first_shared("bands_a", "bands_b") == sides["band"]
     rest = (
         sides.join(
             right,
             (sides["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b"))
-            & close(F.col("n"), F.col("n_b")) & (differences("marks_a", "marks_b") <= differ) & once,
+            & close(F.col("n"), F.col("n_b")) & (differences("marks_a", "marks_b") <= differ) & once
+            & (fine_differences("fine_a", "fine_b") <= finely),
         )
         .select("a", "b")
         .join(checked.select("a", "b"), ["a", "b"], "left_anti")
