@@ -15,7 +15,7 @@ from textloom.llm.components import components
 from textloom.llm.text_arrays import shingle_sets, utf8
 
 from . import brute
-from .conftest import CLASHING, odd_rows, prose
+from .conftest import CLASHING, edited, odd_rows, prose
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
@@ -154,3 +154,24 @@ def test_extra_columns_pass_unread(spark):
     rows = spark.createDataFrame(odd_rows(), CLASHING)
     plan = exact.exact_dedup(rows.withColumn("poison", F.raise_error(F.lit("read")).cast("string")))
     assert plan.count() == len(odd_rows())
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    near = edited(prose(1, 60), 30)
+    rows = [(1, prose(1, 60)), (1, prose(2, 60)), (2, near), (3, edited(prose(2, 60), 10)), (1, None), (7, prose(9, 60)), (7, prose(8, 60))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found)
+    assert got == [(1, 0, 1, True), (1, 56, 1, True), (1, 56, 1, True), (2, 56, 1, False), (3, 56, 1, False), (7, 56, 7, True), (7, 56, 7, True)]
+    assert len({r["text_sha256"] for r in found}) == 7
+
+
+def test_marks_of_fine_sketches_count_their_differences(spark):
+    draw = np.random.Generator(np.random.PCG64(4))
+    pool = draw.integers(0, 2**64, 900, dtype=np.uint64)
+    for shared, limit in ((600, True), (520, False)):  # of 700 each: similarity 0.75 and 0.59
+        a, b = pool[:700], np.concatenate([pool[:shared], pool[700 : 1400 - shared]])
+        x, y = (minhash.fine_marks(minhash.sketch(s, minhash._FINE_SEEDS)) for s in (a, b))
+        frame = spark.createDataFrame([(x.tolist(), y.tolist())], "x array<long>, y array<long>")
+        got = frame.select(minhash.fine_differences("x", "y")).first()[0]
+        plain = sum(bin(((int(p) ^ int(q)) | ((int(p) ^ int(q)) >> 1)) & minhash._ODD).count("1") for p, q in zip(x, y, strict=True))
+        assert got == plain and (got <= minhash.most_differences(75, minhash.FINE_BINS, 2)) == limit

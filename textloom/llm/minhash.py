@@ -122,6 +122,16 @@ def first_shared(x: str, y: str) -> Column:
     return F.coalesce(*[F.when(F.col(x)[k] == F.col(y)[k], F.col(x)[k]) for k in range(BANDS)])
 
 
+def _set_keys(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        keys = _set_keys(shingle_sets(*utf8(batch.column("text"))))
+        yield pa.RecordBatch.from_arrays([keys, batch.column("text").cast(pa.string())], names=["id", "text"])
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(*utf8(batch.column("text")))
@@ -129,12 +139,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
+                batch.column("digest"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                _set_keys(sets),
                 pa.array([None if c is None else bands(c[: BANDS * ROWS]) for c in sketches], pa.list_(pa.int64())),
                 pa.array([None if c is None else marks(c) for c in sketches], pa.list_(pa.int64())),
             ],
-            names=["id", "n", "set_key", "bands", "marks"],
+            names=["id", "digest", "n", "set_key", "bands", "marks"],
         )
 
 
@@ -164,34 +175,40 @@ def _confirm(threshold_percent: int):
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_percent: int = 75
 ) -> DataFrame:
-    """One row per input row: ``(id_col, n_shingles, component_id, kept)``.
+    """One row per input row: ``(id_col, n_shingles, component_id, kept, text_sha256)``.
 
     Documents are linked if ``100 * |A ∩ B| >= threshold_percent * |A ∪ B|`` for their
     sets of distinct 5-word shingles (A-Z lowered, words split at ASCII white space;
     fewer words are one shingle). ``component_id`` is the smallest id that links
     reach; that document is kept. Null, empty and blank texts have no shingles and
-    no links: they are their own component. Rows with the same id are one node. A row
-    without an id cannot be named in a link: its component is null and it is kept.
+    no links: they are their own component. Rows that share an id are judged apart, each
+    by its own text; ``text_sha256`` (of the text as it is, null as empty) tells them apart. A
+    row without an id cannot be named in a link: its component is null and it is kept. An empty
+    table gives no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     ready(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, n long, set_key binary, bands array<long>, marks array<long>"
-    sets = kept(source.mapInArrow(_sketched, schema), "sketches")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    schema = f"id {source.schema['id'].dataType.simpleString()}, digest string, n long, set_key binary, bands array<long>, marks array<long>"
+    sets = kept(source.select("id", "text", digest).mapInArrow(_sketched, schema), "sketches")
 
-    # Classes of equal sets, named by their smallest id; a class's rows share their bands.
+    # Classes of equal sets, the nodes of all that follows; a class's rows share their bands.
     named = sets.filter("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    classes = named.groupBy(F.col("set_key").alias("rep"), "n").agg(
+        F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("marks").alias("marks")
+    )
     classes = kept(classes, "set-classes")
     placed = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     members = kept(placed.join(shared.select("band", "hub"), "band").select("band", "rep", "n", "hub"), "bucket-members")
 
     # Texts of the classes that share a bucket: all that later steps read.
-    involved = members.select(F.col("rep").alias("id")).distinct()
-    texts = kept(
-        source.join(involved, "id").groupBy("id").agg(F.min("text").alias("text")), "candidate-texts"
-    )
+    involved = classes.select("rep", F.col("least").alias("id")).join(members.select("rep").distinct(), "rep")
+    # An id may have other texts besides: those of the class are told by their set.
+    found = source.join(involved.select("id").distinct(), "id").mapInArrow(_keyed, "id binary, text string")
+    found = found.join(involved.select(F.col("rep").alias("id")), "id", "left_semi")
+    texts = kept(found.groupBy("id").agg(F.min("text").alias("text")), "candidate-texts")
     hubs = members.filter("rep = hub").select("band", F.col("n").alias("hub_n")).distinct()
     differ = most_differences(threshold_percent)
     marked = lambda side: classes.select(F.col("rep").alias(side), F.col("marks").alias(f"marks_{side}"))
@@ -200,8 +217,7 @@ def near_duplicates(
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-        kind = pairs.schema["a"].dataType.simpleString()
-        checked = rows.mapInArrow(_confirm(threshold_percent), f"a {kind}, b {kind}, linked boolean")
+        checked = rows.mapInArrow(_confirm(threshold_percent), "a binary, b binary, linked boolean")
         return kept(checked, "checked-pairs")
 
     stars = (
@@ -222,8 +238,7 @@ def near_duplicates(
     mixed = sides.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
     sketches = classes.select(F.col("rep").alias("a"), F.col("marks").alias("marks_a"), F.col("bands").alias("bands_a"))
     sides = kept(sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a"), "open-members")
-    kind = source.schema["id"].dataType.simpleString()
-    fine = texts.join(sides.select(F.col("a").alias("id")).distinct(), "id").mapInArrow(_finely_sketched, f"a {kind}, fine_a array<long>")
+    fine = texts.join(sides.select(F.col("a").alias("id")).distinct(), "id").mapInArrow(_finely_sketched, "a binary, fine_a array<long>")
     sketches = kept(sketches.join(fine, "a"), "open-sketches")
     sides = sides.join(sketches, "a").select("band", "a", "n", "component", "marks_a", "bands_a", "fine_a")
     right = sides.toDF("band", "b", "n_b", "component_b", "marks_b", "bands_b", "fine_b")
@@ -241,18 +256,16 @@ def near_duplicates(
         .join(checked.select("a", "b"), ["a", "b"], "left_anti")
     )
     links = links.union(confirmed(rest).filter("linked").select("a", "b"))
-    # Rows that repeat an id with other texts link their classes through it.
-    twins = named.groupBy("id").agg(F.count_distinct("set_key").alias("k")).filter("k > 1").select("id")
-    twins = named.join(twins, "id").join(classes.select("set_key", "rep"), "set_key").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = kept(components(links.union(twins)), "components")
-
-    reps = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component")
-    )
+    found = kept(components(links), "components")
+    reps = classes.select("rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    reps = reps.withColumn("component", F.coalesce("component", "rep"))
+    names = reps.groupBy("component").agg(F.min("least").alias("name"))
+    reps = kept(reps.join(names, "component").select(F.col("rep").alias("set_key"), F.col("name").alias("component")), "class-components")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return sets.join(reps, "set_key", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         (F.col("id").isNull() | (F.col("id") == component)).alias("kept"),
+        F.col("digest").alias("text_sha256"),
     )
