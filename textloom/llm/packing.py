@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import kept
 from .shared_files import ready
-from .text_arrays import slices
+from .text_arrays import release, slices
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long"
@@ -55,6 +55,8 @@ def cut_documents(
                 kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        words.forget()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return kept(rows.mapInArrow(cut, PIECES), "pieces")

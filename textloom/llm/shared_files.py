@@ -29,6 +29,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def tasks_for(spark: SparkSession, pieces: int) -> int:
+    """Tasks that read so many pieces of files: one for each, up to some for each core.
+
+    A list of files is a few kB, which Spark would give to one task.
+    """
+    return max(1, min(pieces, 16 * spark.sparkContext.defaultParallelism))
+
+
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or of an absolute path."""
     return fs.FileSystem.from_uri(uri.replace("file:///", "/", 1) if uri.startswith("file:///") else uri)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken from an Arrow batch in slices of about this size; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,6 +68,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
                 yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give a finished task's Arrow memory back: workers live on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums of byte value times power of the base, of every prefix."""
     up, _ = _powers(len(data) + 1)

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .shared_files import new_folder, place, ready
-from .text_arrays import slices
+from .shared_files import new_folder, place, ready, tasks_for
+from .text_arrays import release, slices
 from .tokens import encoder
 
 MAGIC = b"TLTOKEN1"
@@ -167,6 +167,8 @@ def write_token_files(
             out.close()
             where.move(f"{path}.open", path)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(writer.ids)], "n_ids": [writer.n_ids]})
+        words.forget()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).orderBy("id")
     return kept(rows.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-file-list")
@@ -198,4 +200,4 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return listed.repartition(F.col("shard")).mapInArrow(read, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(tasks_for(spark, files.count())).mapInArrow(read, f"{id_col} long, start long, n_tokens long, ids_crc32 long")

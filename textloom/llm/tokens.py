@@ -16,8 +16,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Pieces whose ids a worker keeps (some 200 MB). A full table is left as it is, or begun anew once it no longer serves.
-MOST_PIECES = 1_000_000
+#: Pieces whose ids a worker keeps while a task runs (some 50 MB). A full table is left as it is, or begun anew once it no longer serves.
+MOST_PIECES = 250_000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
 #: A worker encodes texts in groups of about so many characters.

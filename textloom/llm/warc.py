@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .shared_files import new_folder, place, ready
+from .shared_files import new_folder, place, ready, tasks_for
 
 MARK = b"WARC/1.1\r\n"
 #: Payloads below this size are always written in full.
@@ -209,7 +209,8 @@ def read_warc(files: DataFrame) -> DataFrame:
     splits = files.filter("n_bytes > 0").select(
         "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(SPLIT_BYTES).cast("long"))).alias("begin")
     )
-    splits = splits.withColumn("end", F.least(F.col("begin") + SPLIT_BYTES, "n_bytes")).repartition("path", "begin")
+    splits = splits.withColumn("end", F.least(F.col("begin") + SPLIT_BYTES, "n_bytes"))
+    splits = splits.repartition(tasks_for(spark, splits.count()))
     schema = "path string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     found = kept(splits.mapInArrow(find, schema).withColumn("file", F.xxhash64("path")).drop("path"), "record-candidates")
     records = found.join(reachable(found), ["file", "at"])
