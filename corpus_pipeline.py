@@ -60,8 +60,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id."""
-    keepers = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    return _chosen(docs, [F.col("doc_id")], keepers, [F.coalesce(F.col("text"), F.lit(""))])
+    keepers = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id", "text_sha256")
+    return _chosen(docs, [F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)], keepers, ["doc_id"])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
