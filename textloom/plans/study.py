@@ -29,6 +29,19 @@ def weighed(spark: SparkSession, sf: str, seeds=SEEDS, treatments=(None,)):
     return tfidf.weigh(docs, model), model
 
 
+#: Bins of a TF-IDF weight between 0 and 1; bin 0 is an absent term.
+BINS = 255
+
+
+def binned(spark: SparkSession, sf: str, seeds=SEEDS, with_terms: bool = False):
+    """``(run, id, label, split, features)`` with weights as bins, the number of features, and the terms if asked for."""
+    rows, model = weighed(spark, sf, seeds)
+    number = lambda w: F.ceil(F.round(w, 9) * BINS).cast("int")
+    features = F.transform("features", lambda f: F.struct(f["idx"].alias("idx"), number(f["weight"]).alias("bin")))
+    rows = kept(rows.select(F.col("seed").cast("long").alias("run"), "id", "label", "split", features.alias("features")), "binned")
+    return (rows, len(model.words), model.terms) if with_terms else (rows, len(model.words))
+
+
 def bayes_predictions(spark: SparkSession, sf: str, seeds=SEEDS, treatments=(None,)) -> DataFrame:
     """Gaussian naive Bayes over TF-IDF on val and test of every run."""
     rows, model = weighed(spark, sf, seeds, treatments)
