@@ -13,7 +13,7 @@ from ..operators import vocabulary as vo
 from ..operators import signedrank as sr
 from ..schemas import LABELLED, METRIC_NAMES, RAW_ONE_JSON, RAW_SPLIT_CSV, RAW_TWO_JSON, SEEDS
 from ..session import scratch_path
-from ..sources import files, results, words
+from ..sources import files, results, split_csv, words
 from . import sql
 from .experiments import LOG, PAIRS, RANKS, TEST, epoch_log
 from .registry import query
@@ -28,6 +28,15 @@ def csv_round_trip(spark, sf):
     return rows.select("id", F.md5("text").alias("digest"), "label", "project")
 
 
+@query("S1 S4", f"WITH {sql.LABELLED} SELECT id, md5(text) AS digest, label, project FROM labelled")
+def csv_in_splits(spark, sf):
+    """One file of quoted records with line breaks, read by several tasks."""
+    path = scratch_path(spark, "one-csv")
+    files.write_csv(labelled(spark, sf).select("id", "text", "label", "project").coalesce(1), path)
+    rows = split_csv.read_split_csv(spark, path, LABELLED)
+    return rows.select("id", F.md5("text").alias("digest"), "label", "project")
+
+
 def write_json_arrays(df: DataFrame, columns: list[str], path: str) -> None:
     """Files of one JSON array each, as many as there are shuffle partitions."""
     files_wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
