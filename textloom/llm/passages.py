@@ -171,6 +171,38 @@ def _judge(key, table):
     return pa.Table.from_batches([_spans(entries, False)])
 
 
+def _judge_strings(parts: int):
+    """The repeated strings of one bucket, packed by the part that their document belongs to."""
+
+    def judge(key, table):
+        entries = np.concatenate([_unpacked(b) for b in table.column("entries").to_pylist()])
+        if key[0].as_py() >= 0:
+            entries, repeated = _settle(entries)
+            entries = entries[repeated]
+        part = (mix(entries["doc"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        entries, part = entries[order], part[order]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        names = part[np.concatenate(([0], cuts))] if len(part) else part
+        blobs = [p["doc"].tobytes() + p["start"].tobytes() for p in np.split(entries, cuts)] if len(part) else []
+        return pa.table({"part": pa.array(names, pa.int32()), "own": pa.array(blobs, pa.binary())})
+
+    return judge
+
+
+def _documents(key, table):
+    """Spans of the documents of one part: neighbouring strings are one span."""
+    both = [np.frombuffer(b, "<i8").reshape(2, -1) for b in table.column("own").to_pylist()]
+    docs, starts = np.concatenate(both, axis=1)
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order]
+    first = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (starts[1:] - starts[:-1] > 1))))
+    entries = np.zeros(len(first), ENTRY)
+    entries["doc"], entries["start"] = docs[first], starts[first]
+    entries["strings"] = starts[np.append(first[1:], len(docs)) - 1] - starts[first] + 1
+    return pa.Table.from_batches([_spans(entries, False)])
+
+
 def _judge_phrases(folder: str, buckets: int):
     """The repeated phrases of one bucket; the others go to a file, and a report to the bucket of each trigger."""
 
@@ -317,7 +349,10 @@ def repeated_passages(
     flat = lambda name: F.flatten(F.collect_list(name)).alias(name)
     questions = opened.groupBy("id").agg(flat("starts"), flat("strings"), flat("triggers"))
     again = source.join(questions, "id").mapInArrow(strings, "bucket int, entries binary")
-    finer = kept(_by_bucket(again, _judge, SPANS), "string-spans")
+    # Answers travel packed: a bucket sends one row to each part of the documents, however many of these it concerns.
+    parts = max(8, -(-n_open * 16 // STRING_BYTES))
+    found = _by_bucket(again, _judge_strings(parts), "part int, own binary")
+    finer = kept(found.groupBy("part").applyInArrow(_documents, SPANS), "string-spans")
 
     covered = settled.filter("path IS NULL").select(SPAN_NAMES).union(finer).groupBy("id").agg(flat("starts"), flat("strings"))
 
