@@ -236,25 +236,24 @@ def near_duplicates(
         "band", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = sides.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    sketches = classes.select(F.col("rep").alias("a"), F.col("marks").alias("marks_a"), F.col("bands").alias("bands_a"))
     sides = kept(sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a"), "open-members")
     fine = texts.join(sides.select(F.col("a").alias("id")).distinct(), "id").mapInArrow(_finely_sketched, "a binary, fine_a array<long>")
-    sketches = kept(sketches.join(fine, "a"), "open-sketches")
-    sides = sides.join(sketches, "a").select("band", "a", "n", "component", "marks_a", "bands_a", "fine_a")
-    right = sides.toDF("band", "b", "n_b", "component_b", "marks_b", "bands_b", "fine_b")
+    sketches = classes.select(F.col("rep").alias("a"), "marks", "bands").join(fine.withColumnRenamed("fine_a", "fine"), "a")
+    sides = sides.join(kept(sketches, "open-sketches"), "a").select("band", "a", "n", "component", "marks", "bands", "fine")
     finely = most_differences(threshold_percent, FINE_BINS, 2)
-    # A pair that shares several bands comes out of the first one only.
-    once = first_shared("bands_a", "bands_b") == sides["band"]
+    x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
     rest = (
-        sides.join(
-            right,
-            (sides["band"] == right["band"]) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b"))
-            & close(F.col("n"), F.col("n_b")) & (differences("marks_a", "marks_b") <= differ) & once
-            & (fine_differences("fine_a", "fine_b") <= finely),
+        # Both sides are the same plan, so they are shuffled once.
+        sides.alias("x").join(
+            sides.alias("y"),
+            (x("band") == y("band")) & (x("a") < y("a")) & (x("component") != y("component")) & close(x("n"), y("n"))
+            & (differences("x.marks", "y.marks") <= differ)
+            & (first_shared("x.bands", "y.bands") == x("band"))  # a pair that shares several bands comes out of the first one only
+            & (fine_differences("x.fine", "y.fine") <= finely),
         )
-        .select("a", "b")
+        .select(x("a").alias("a"), y("a").alias("b"))
         .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    )
     links = links.union(confirmed(rest).filter("linked").select("a", "b"))
     found = kept(components(links), "components")
     reps = classes.select("rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left")
