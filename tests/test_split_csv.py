@@ -27,17 +27,6 @@ def write(folder, name, rows, end="\n", header="text,extra,id,n", last=True):
     (folder / name).write_bytes((end.join(lines) + (end if last else "")).encode())
 
 
-@pytest.fixture
-def tiny_splits(spark):
-    names = {"spark.sql.files.maxPartitionBytes": "90b", "spark.sql.files.openCostInBytes": "1b"}
-    before = {k: spark.conf.get(k) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
-
-
 @pytest.mark.parametrize(("end", "last"), [("\n", True), ("\n", False), ("\r\n", True)])
 def test_splits_give_the_rows_of_the_whole(spark, tmp_path, tiny_splits, end, last):
     own = list(enumerate(texts(60, 1)))

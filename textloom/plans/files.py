@@ -13,7 +13,7 @@ from ..operators import vocabulary as vo
 from ..operators import signedrank as sr
 from ..schemas import LABELLED, METRIC_NAMES, RAW_ONE_JSON, RAW_SPLIT_CSV, RAW_TWO_JSON, SEEDS
 from ..session import scratch_path
-from ..sources import files, results, split_csv, words
+from ..sources import files, results, split_csv, split_json, words
 from . import sql
 from .experiments import LOG, PAIRS, RANKS, TEST, epoch_log
 from .registry import query
@@ -60,6 +60,18 @@ def json_array_source(spark, sf):
     return back.select(F.md5("func").alias("digest"), F.col("target").alias("vul"), "project", "commit_id")
 
 
+@query("S2 P1", f"WITH {sql.LABELLED} SELECT md5(text) AS digest, label AS vul, project, md5(id::VARCHAR) AS commit_id FROM labelled")
+def json_in_splits(spark, sf):
+    """Files of one JSON array each, read by several tasks a file."""
+    path = scratch_path(spark, "split-json")
+    rows = labelled(spark, sf).select(
+        "id", F.col("text").alias("func"), F.col("label").alias("target"), "project", F.md5(F.col("id").cast("string")).alias("commit_id")
+    )
+    write_json_arrays(rows, ["func", "target", "project", "commit_id"], path)
+    back = split_json.read_split_json(spark, path, RAW_ONE_JSON)
+    return back.select(F.md5("func").alias("digest"), F.col("target").alias("vul"), "project", "commit_id")
+
+
 @query(
     "S2 P4 U1 A1",
     f"""WITH {sql.LABELLED} SELECT label AS target, project, count(*) AS n, sum(length(text))::BIGINT AS size FROM labelled
