@@ -152,7 +152,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finely_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         marked = [fine_marks(sketch(s, _FINE_SEEDS)) for s in shingle_sets(*utf8(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marked, pa.list_(pa.int64()))], names=["a", "fine_a"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marked, pa.list_(pa.int64()))], names=["rep", "fine"])
 
 
 def _confirm(threshold_percent: int):
@@ -236,10 +236,10 @@ def near_duplicates(
         "band", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = sides.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    sides = kept(sides.join(mixed.select("band"), "band").withColumnRenamed("rep", "a"), "open-members")
-    fine = texts.join(sides.select(F.col("a").alias("id")).distinct(), "id").mapInArrow(_finely_sketched, "a binary, fine_a array<long>")
-    sketches = classes.select(F.col("rep").alias("a"), "marks", "bands").join(fine.withColumnRenamed("fine_a", "fine"), "a")
-    sides = sides.join(kept(sketches, "open-sketches"), "a").select("band", "a", "n", "component", "marks", "bands", "fine")
+    sides = kept(sides.join(mixed.select("band"), "band"), "open-members")
+    fine = texts.join(sides.select(F.col("rep").alias("id")).distinct(), "id").mapInArrow(_finely_sketched, "rep binary, fine array<long>")
+    sketches = kept(classes.select("rep", "marks", "bands").join(fine, "rep"), "open-sketches")
+    sides = sides.join(sketches, "rep").select("band", F.col("rep").alias("a"), "n", "component", "marks", "bands", "fine")
     finely = most_differences(threshold_percent, FINE_BINS, 2)
     x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
     rest = (
