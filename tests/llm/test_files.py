@@ -40,6 +40,15 @@ def test_ids_with_a_full_table_and_special_strings(monkeypatch):
         assert [g.tolist() for g in encoder.encode(texts)] == [encoder.whole(t or "").tolist() for t in texts]
 
 
+def test_ids_when_a_table_of_many_pieces_is_begun_anew(monkeypatch):
+    monkeypatch.setattr("textloom.llm.tokens.MOST_PIECES", 36_000)
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    first, second = (" ".join(map(name, range(a, b))) for a, b in ((0, 35_000), (30_000, 90_000)))
+    encoder = WordEncoder(WORDS, False)
+    for text in (first, second, first):
+        assert encoder.encode([text])[0].tolist() == encoder.whole(text).tolist()
+
+
 @given(st.integers(1, 32), st.integers(0, 200), st.integers(0, 2**32))
 def test_packed_ids_come_back(bits, n, seed):
     ids = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**bits, n, dtype=np.uint64).astype(np.uint32)

@@ -107,7 +107,7 @@ class WordEncoder:
         missing = np.flatnonzero(at < 0)
         if len(self.known) > MOST_PIECES // 2 and len(missing) > len(cut) // 2:
             self.forget()
-            missing = np.arange(len(cut))
+            at, missing = np.full(len(cut), -1), np.arange(len(cut))
         starts, sizes, flat = self.starts[at], self.starts[at + 1] - self.starts[at], self.flat
         if len(missing):  # ids of this group's new pieces stand behind the table's
             sought = [cut[i] for i in missing.tolist()]
