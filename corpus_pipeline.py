@@ -18,7 +18,7 @@ from textloom.llm.decontaminate import benchmark_hits
 from textloom.llm.exact_dedup import exact_dedup, lower_ascii
 from textloom.llm.langid import UNKNOWN, fit_langid, fold, language
 from textloom.llm.minhash import near_duplicates
-from textloom.llm.packing import pack_documents
+from textloom.llm.packing import pack_documents, packed_by_fewer
 from textloom.session import kept
 
 #: A language with a calibrated probability below this is a guess; such documents go, as do those without a letter.
@@ -72,7 +72,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents left, packed into sequences of 2048 ids."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(packed_by_fewer(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

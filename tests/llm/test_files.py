@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textloom.llm import packing, token_files, warc
@@ -49,6 +50,23 @@ def test_ids_when_a_table_of_many_pieces_is_begun_anew(monkeypatch):
         assert encoder.encode([text])[0].tolist() == encoder.whole(text).tolist()
 
 
+def test_packing_cuts_documents_in_fewer_tasks(spark, tmp_path):
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
+    docs.repartition(64).write.parquet(str(tmp_path / "documents"))
+    at_least = 2 * spark.sparkContext.defaultParallelism
+    scan = spark.read.parquet(str(tmp_path / "documents"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+        assert scan.rdd.getNumPartitions() > at_least
+        assert packing.packed_by_fewer(scan).rdd.getNumPartitions() == at_least
+        assert packing.pack_documents(packing.packed_by_fewer(scan), WORDS).count() == 64
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @given(st.integers(1, 32), st.integers(0, 200), st.integers(0, 2**32))
 def test_packed_ids_come_back(bits, n, seed):
     ids = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**bits, n, dtype=np.uint64).astype(np.uint32)

@@ -27,13 +27,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .shared_files import ready
+from .shared_files import fewer_tasks, ready
 from .text_arrays import release, slices
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long"
 
 
+def packed_by_fewer(scan: DataFrame) -> DataFrame:
+    """A bare scan, whose splits are known without running anything, for fewer tasks that cut more documents each."""
+    return scan.coalesce(fewer_tasks(scan.sparkSession, scan.rdd.getNumPartitions()))
+
+
 def cut_documents(
     docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False
 ) -> DataFrame:

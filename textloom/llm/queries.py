@@ -15,7 +15,7 @@ from .exact_dedup import exact_dedup
 from .langid import fit_langid, fold, predict_langid
 from .licenses import license_scan
 from .minhash import near_duplicates
-from .packing import pack_documents
+from .packing import pack_documents, packed_by_fewer
 from .passages import repeated_passages
 from .secret_scan import secret_scan
 from .token_files import read_token_files, write_token_files
@@ -75,7 +75,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(packed_by_fewer(_table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
