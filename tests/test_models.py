@@ -95,6 +95,16 @@ def test_nearest_neighbour_equals_brute_force(spark, rows):
     assert got == want
 
 
+def test_nearest_neighbour_over_parts_and_blocks(spark, monkeypatch):
+    rows = random_rows(120, 40, 15, 5, copies=[(1, i) for i in range(20, 40)])
+    docs = study(spark, rows)
+    weighed = tfidf.weigh(docs, tfidf.fit_tfidf(docs, [1]))
+    found = neighbours.nearest_neighbour(weighed, part=16)
+    assert {r["id"]: (r["dist"], r["nn_id"]) for r in found.collect()} == brute_force(weighed.collect())
+    # Only vectors are shuffled: no plan joins terms with terms.
+    assert "idx" not in "".join(line for line in found._jdf.queryExecution().toString().splitlines() if "Join" in line)
+
+
 def test_bayes_equals_the_dense_formula(spark):
     docs = study(spark, random_rows(80, 12, 10, 4))
     model = tfidf.fit_tfidf(docs, [1])
