@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from textloom.plans import files as plans
+from textloom.schemas import LABELLED
 from textloom.sources import files, split_csv
 
 SCHEMA = T.StructType().add("id", "long").add("text", "string").add("n", "integer")
@@ -54,3 +56,12 @@ def test_header_only_blank_lines_and_missing_columns(spark, tmp_path):
     (tmp_path / "a.csv").write_text("text,n\na,1\n")
     with pytest.raises(Exception, match="id"):
         split_csv.read_split_csv(spark, str(tmp_path), SCHEMA).collect()
+
+
+def test_csv_of_much_text_goes_to_several_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"line {i}\n\"quoted\", {i}", i % 2, "p") for i in range(60)], LABELLED)
+    assert plans.in_large_files(rows).rdd.getNumPartitions() == 1
+    files.write_csv(plans.in_large_files(rows, 200), str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("part-*"))) > 1
+    back = split_csv.read_split_csv(spark, str(tmp_path / "csv"), LABELLED)
+    assert sorted(back.collect()) == sorted(rows.collect())

@@ -28,11 +28,21 @@ def csv_round_trip(spark, sf):
     return rows.select("id", F.md5("text").alias("digest"), "label", "project")
 
 
+#: Characters of text in one file: several of the splits that Spark makes of it, and no more than a task may write.
+FILE_CHARS = 400_000_000
+
+
+def in_large_files(rows: DataFrame, most: int = FILE_CHARS) -> DataFrame:
+    """Rows ``(id, text, …)`` for one file of at most about so many characters, or for as many as it takes."""
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return rows.repartition(-(-size // most), "id") if size > most else rows.coalesce(1)
+
+
 @query("S1 S4", f"WITH {sql.LABELLED} SELECT id, md5(text) AS digest, label, project FROM labelled")
 def csv_in_splits(spark, sf):
-    """One file of quoted records with line breaks, read by several tasks."""
+    """Large files of quoted records with line breaks, one if it is enough, each read by several tasks."""
     path = scratch_path(spark, "one-csv")
-    files.write_csv(labelled(spark, sf).select("id", "text", "label", "project").coalesce(1), path)
+    files.write_csv(in_large_files(labelled(spark, sf).select("id", "text", "label", "project")), path)
     rows = split_csv.read_split_csv(spark, path, LABELLED)
     return rows.select("id", F.md5("text").alias("digest"), "label", "project")
 
