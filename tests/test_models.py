@@ -95,6 +95,16 @@ def test_nearest_neighbour_equals_brute_force(spark, rows):
     assert got == want
 
 
+def test_terms_are_counted_once_for_all_seeds(spark):
+    docs = study(spark, random_rows(80, 12, 10, 6))
+    model = tfidf.fit_tfidf(docs, [1])
+    counted = tfidf.counted_once(docs, model)
+    assert "terms" not in counted.columns
+    key = lambda df: sorted(map(str, df.collect()))
+    got = [key(models.predict_splits(d, models.fit_on_tfidf(d, model, 1, "linear_svc"), 1)) for d in (docs, counted)]
+    assert got[0] == got[1]
+
+
 def test_nearest_neighbour_over_parts_and_blocks(spark, monkeypatch):
     rows = random_rows(120, 40, 15, 5, copies=[(1, i) for i in range(20, 40)])
     docs = study(spark, rows)
