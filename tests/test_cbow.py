@@ -143,3 +143,50 @@ def test_training_repeats_itself_and_takes_words_to_unseen_ones(spark):
 def test_no_frequent_word_gives_no_vectors(spark):
     model = cbow.train_cbow(topics(spark, 4), 8, 1000, 2, 1)
     assert cbow.word_vectors(model).count() == 0
+
+
+def test_a_step_in_parts_is_the_step_in_whole_batches(spark, monkeypatch):
+    rng = random.Random(8)
+    vectors = [(kind, key, [rng.uniform(-1, 1) for _ in range(3)]) for kind in (cbow.INPUT, cbow.OUTPUT) for key in range(1, 21)]
+    vectors += [(cbow.INPUT, -key, [rng.uniform(-1, 1) for _ in range(3)]) for key in range(1, 6)]
+    lexicon = [(i, [i] + [-1 - i % 5, -1 - i % 3] * (i % 2)) for i in range(1, 21)]
+    word = lambda: rng.randint(1, 20)
+    examples = [(i % 3, i, [word() for _ in range(rng.randint(1, 4))], [word() for _ in range(3)]) for i in range(300)]
+    given = [
+        spark.createDataFrame(vectors, "kind int, key long, vec array<double>"),
+        spark.createDataFrame(lexicon, "id long, units array<long>"),
+        spark.createDataFrame(examples, "batch long, key long, context array<long>, targets array<long>"),
+    ]
+    step = lambda: {(r["kind"], r["key"]): r["vec"] for r in cbow.cbow_step(*given, 0.05).collect()}
+    whole, run = step(), cbow._batch
+
+    def bounded(*args):
+        work = run(*args)
+
+        def checked(key, table):
+            assert table.num_rows < 150  # a whole batch has 100 examples and more than 50 words and vectors
+            return work(key, table)
+
+        return checked
+
+    monkeypatch.setattr(cbow, "STEP_WORDS", 20)
+    monkeypatch.setattr(cbow, "_batch", bounded)
+    cut = step()
+    assert whole.keys() == cut.keys()
+    assert all(np.allclose(whole[k], cut[k], atol=1e-12) for k in whole)
+
+
+def test_units_of_a_word_are_added_up_once_for_a_minibatch():
+    draw = np.random.default_rng(3)
+    flat, bounds = np.array([0, 4, 5, 1, 2, 5, 3, 3]), np.array([0, 3, 4, 6, 8])
+    context, ends = np.array([0, 2, 0, 3, 1, 2, 2, 0]), np.array([2, 5, 8])
+    targets = np.array([[0, 1], [3, 2], [1, 1]])
+    sizes = np.diff(bounds)
+    units = np.concatenate([flat[bounds[w] : bounds[w + 1]] for w in context])
+    unit_ends = np.cumsum(sizes[context])[ends - 1]
+    for minibatch in (None, 2):
+        one = [draw.normal(0, 0.5, (6, 3)), draw.normal(0, 0.5, (4, 3))]
+        two = [x.copy() for x in one]
+        cbow.descend(*one, units, unit_ends, targets, 0.5, minibatch)
+        cbow.descend(*two, context, ends, targets, 0.5, minibatch, lexicon=(flat, bounds))
+        assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(one, two, strict=True))
