@@ -190,3 +190,20 @@ def test_units_of_a_word_are_added_up_once_for_a_minibatch():
         cbow.descend(*one, units, unit_ends, targets, 0.5, minibatch)
         cbow.descend(*two, context, ends, targets, 0.5, minibatch, lexicon=(flat, bounds))
         assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(one, two, strict=True))
+
+
+def test_no_null_lists_are_sent_to_batches(spark, monkeypatch):
+    """The Arrow writer's time grows with the square of the null lists in a batch."""
+    run = cbow._batch
+
+    def checked(*args):
+        work = run(*args)
+
+        def complete(key, table):
+            assert not table.column("vec").null_count and not table.column("items").null_count
+            return work(key, table)
+
+        return complete
+
+    monkeypatch.setattr(cbow, "_batch", checked)
+    assert cbow.word_vectors(cbow.train_cbow(topics(spark, 40), 4, 1, 1, 1)).count() > 0
