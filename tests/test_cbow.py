@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,30 @@ def test_rare_words_are_shuffled_once_a_row_and_places_never(spark, monkeypatch)
     assert "pos" not in plan._jdf.queryExecution().optimizedPlan().toString().split()
 
 
+def test_a_batch_is_worked_on_in_parts_of_bounded_tokens(monkeypatch):
+    monkeypatch.setattr(vo, "PART_TOKENS", 50)
+    monkeypatch.setattr(vo, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    tokens = [["a", "b", "rare"] * (i % 7) for i in range(60)] + [None, [None, "b"], ["a"] * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(63)), pa.array(tokens, pa.list_(pa.string()))], names=["id", "tokens"])
+    heads = pa.table({"word": ["a", "b"], "id": pa.array([1, 2], pa.int64())})
+    found = list(vo._coder(heads, True)(iter([batch])))
+    assert len(found) > 8 and all(b.num_rows == 1 or len(b.column("ids").flatten()) <= 50 + 18 for b in found)
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert [r["row"] for r in rows] == list(range(63)) == [r["id"] for r in rows]
+    known = {"a": 1, "b": 2, "rare": -1}
+    assert [r["ids"] for r in rows] == [[known[t] for t in ts or [] if t] for ts in tokens]
+
+    answers = pa.RecordBatch.from_arrays(
+        [pa.array(range(63)), pa.array([r["ids"] for r in rows], pa.list_(pa.int32())), pa.array([len(r["rare"]) for r in rows], pa.int32()),
+         pa.array([list(range(len(r["rare"]))) for r in rows], pa.list_(pa.int32())), pa.array([[9] * len(r["rare"]) for r in rows], pa.list_(pa.int32()))],
+        names=["id", "ids", "n_rare", "places", "tokens"],
+    )
+    found = list(vo._resolved(iter([answers])))
+    assert len(found) > 8
+    known["rare"] = 9
+    assert pa.Table.from_batches(found).column("ids").to_pylist() == [[known[t] for t in ts or [] if t] for ts in tokens]
+
+
 def loss(inputs, outputs, context, ends, targets):
     total, start = 0.0, 0
     for end, row in zip(ends, targets, strict=True):

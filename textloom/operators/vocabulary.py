@@ -19,6 +19,8 @@ from .ordering import global_rank, top_within
 
 #: Words that are looked up in the row (by rank; of at most so many characters), 25 MB at most.
 HEAD_WORDS, LONGEST_HEAD = 100_000, 64
+#: Tokens of an Arrow batch that are worked on at once; a longer row is a part of its own.
+PART_TOKENS = 1 << 19
 
 
 def term_statistics(df: DataFrame, tokens: Column) -> DataFrame:
@@ -82,13 +84,23 @@ def lookup_tokens(tokens: DataFrame, vocabulary: DataFrame, how: str = "inner")
     return join_words(tokens, table, lambda: vocabulary.filter(F.col("id") <= HEAD_WORDS), how)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of bounded tokens, in order: a batch is bounded in rows only."""
+    for batch in batches:
+        part = np.cumsum(pc.fill_null(batch.column(column).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART_TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+
+
 def _coder(heads: pa.Table, keep_rare: bool):
     """Arrow batches ``(id, tokens)`` to ``(row, id, ids, rare)``; a word that isn't among the heads is the negative place of it in ``rare``."""
     words, numbers = heads.column("word").combine_chunks(), heads.column("id").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in parts(batches, 1):
             lists = pc.fill_null(batch.column(1), []) if batch.column(1).null_count else batch.column(1)
             flat = lists.flatten()
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -119,7 +131,7 @@ def _coder(heads: pa.Table, keep_rare: bool):
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches ``(id, ids, n_rare, places, tokens)`` to ``(id, ids)``: negative codes are looked up among the row's own answers or vanish."""
-    for batch in batches:
+    for batch in parts(batches, 1):
         id_, ids, n_rare, places, tokens = batch.columns
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.repeat(np.arange(batch.num_rows), ids.value_lengths().to_numpy(zero_copy_only=False))
