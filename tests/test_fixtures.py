@@ -448,3 +448,17 @@ def test_large_tables_are_not_pinned(spark):
     assert pin_small(rows, 19) is rows
     pinned = pin_small(rows, 20)
     assert pinned is not rows and pinned.count() == 20
+
+
+def test_words_are_counted_by_row_and_texts_cut_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, None), (3, ""), (None, "b b")], "id long, text string")
+    tokens = tx.words(F.col("text"))
+    found = vo.bags(rows, tokens).collect()
+    assert sorted((r["id"] or 0, r["word"], r["tf"]) for r in found) == [(0, "b", 2), (1, "a", 1), (1, "a", 2), (1, "b", 1)]
+    stats = vo.term_statistics(rows, tokens).collect()
+    assert sorted(tuple(r) for r in stats) == [("a", 3, 2), ("b", 3, 2)]
+    monkeypatch.setattr(embeddings, "MAX_BROADCAST_VECTORS", 1)
+    table = spark.createDataFrame([("a", [1.0]), ("b", [4.0])], "word string, vec array<double>")
+    means = embeddings.document_vectors(rows, tokens, table)
+    assert "split(" not in means._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["id"] or 0, r["n_known"], r["vec"]) for r in means.collect()) == [(0, 0, [0.0]), (1, 4, [1.75]), (1, 4, [1.75]), (2, 0, [0.0]), (3, 0, [0.0])]
