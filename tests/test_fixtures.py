@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import arrays as ar
 from textloom.functions import text as tx
-from textloom.operators import clean, embeddings, experiment, metrics, ordering, profile, sequences, signedrank, split
+from textloom.operators import clean, embeddings, experiment, metrics, ordering, profile, sequences, signedrank, split, tfidf
 from textloom.operators import vocabulary as vo
 from textloom.schemas import SEEDS
 
@@ -462,3 +462,13 @@ def test_words_are_counted_by_row_and_texts_cut_once(spark, monkeypatch):
     means = embeddings.document_vectors(rows, tokens, table)
     assert "split(" not in means._jdf.queryExecution().analyzed().toString()
     assert sorted((r["id"] or 0, r["n_known"], r["vec"]) for r in means.collect()) == [(0, 0, [0.0]), (1, 4, [1.75]), (1, 4, [1.75]), (2, 0, [0.0]), (3, 0, [0.0])]
+
+
+@pytest.mark.parametrize("among", [100_000, 1])
+def test_candidate_terms_are_counted_by_seed_without_sorting_the_row(spark, monkeypatch, among):
+    monkeypatch.setattr(tfidf, "MOST_AMONG", among)
+    data = [(["a", "b", "a"], ["train", "test"]), (["b", "c"], ["train", "train"]), (None, ["train", "train"]), ([], ["val", "train"])]
+    docs = spark.createDataFrame([(t, [(s, x) for s, x in zip((7, 9), xs)]) for t, xs in data], "terms array<string>, assign array<struct<seed:int,split:string>>")
+    found = tfidf._counts_per_seed(docs, [7, 9], spark.createDataFrame([("a", 2), ("b", 2)], "term string, cf long"))
+    assert "array_sort" not in (plan := found._jdf.queryExecution().analyzed().toString()) and "sort_array" not in plan
+    assert sorted(tuple(r[c] for c in ("seed", "term", "cf", "df")) for r in found.collect()) == [(7, "a", 2, 1), (7, "b", 2, 2), (9, "b", 1, 1)]

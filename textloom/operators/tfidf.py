@@ -1,14 +1,18 @@
 """TF-IDF fitted on each seed's train rows and applied to all splits.
 
-Two scans of the text and one shuffle, of the vocabulary. Documents are counted
+A few scans of the terms and shuffles of the vocabulary only. Documents are counted
 against the union of the seeds' top terms inside their own row; weights of all
 seeds follow from that one count with a table of idf arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -17,11 +21,13 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.arrays import dense
 from ..functions.rows import unnest, unnest_structs
-from ..session import kept
+from ..session import import_in_workers, kept
 from .bounded import pin_small
-from .vocabulary import top_terms_within
+from .vocabulary import counted, parts, top_terms_within
 
 FEATURES = 1000
+#: Candidates that tasks are told, so that they count nothing else; more are picked out by a join.
+MOST_AMONG = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,14 +48,34 @@ def _in_train(seeds: list[int]) -> list:
     return [(F.get("assign", i)["split"] == "train").alias(f"t{i}") for i in range(len(seeds))]
 
 
+def _sums_per_seed(n_seeds: int, among: pa.Array | None):
+    """Batches ``(terms, flags by seed)`` to each term's counts by seed, summed over the rows of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 0):
+            row, code, count, words = counted(batch.column(0), among)
+            found, code = np.unique(code, return_inverse=True)
+            flags = pc.fill_null(batch.column(1).flatten(), False).to_numpy(zero_copy_only=False).reshape(-1, n_seeds)
+            columns, names = [words.take(pa.array(found)).cast(pa.string())], ["term"]
+            for i in range(n_seeds):
+                own = flags[row, i]
+                sums = np.bincount(code[own], count[own], len(found)), np.bincount(code[own], minlength=len(found))
+                columns += [pa.array(x.astype(np.int64)) for x in sums]
+                names += [f"cf{i}", f"df{i}"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
 def _counts_per_seed(docs: DataFrame, seeds: list[int], candidates: DataFrame) -> DataFrame:
     """``(seed, term, cf, df)`` of the candidate terms over each seed's train rows."""
-    rows = unnest_structs(docs, _in_train(seeds), tx.term_counts(F.col("terms")))
-    sums = []
-    for i in range(len(seeds)):
-        sums.append(F.sum(F.when(F.col(f"t{i}"), F.col("tf")).otherwise(0)).alias(f"cf{i}"))
-        sums.append(F.count_if(F.col(f"t{i}")).alias(f"df{i}"))
-    wide = rows.join(candidates.select("term"), "term").groupBy("term").agg(*sums)
+    import_in_workers(docs.sparkSession)
+    among = candidates.select("term").limit(MOST_AMONG + 1).toArrow().column("term").combine_chunks()
+    names = [f"{c}{i}" for i in range(len(seeds)) for c in ("cf", "df")]
+    flagged = docs.select("terms", F.array(*_in_train(seeds)).alias("flags"))
+    step = _sums_per_seed(len(seeds), among if len(among) <= MOST_AMONG else None)
+    rows = flagged.mapInArrow(step, ", ".join(["term string", *[f"{n} long" for n in names]]))
+    wide = rows.join(candidates.select("term"), "term").groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
     per_seed = F.array(
         *[
             F.struct(F.lit(seed).alias("seed"), F.col(f"cf{i}").alias("cf"), F.col(f"df{i}").alias("df"))
@@ -69,8 +95,8 @@ def train_top_terms(docs: DataFrame, seeds: list[int], features: int) -> DataFra
     """
     anywhere = F.exists("assign", lambda a: a["split"] == "train")
     tokens = unnest(docs.filter(anywhere), [], "terms", "term")
-    totals = tokens.groupBy("term").agg(F.count("*").alias("cf"))
-    width = 4 * features
+    totals = kept(tokens.groupBy("term").agg(F.count("*").alias("cf")), "totals")
+    width = 16 * features
     while True:
         candidates = pin_small(totals.orderBy(F.desc("cf"), "term").limit(width))
         found, smallest = candidates.agg(F.count("*"), F.min("cf")).first()
