@@ -50,6 +50,25 @@ def test_ids_when_a_table_of_many_pieces_is_begun_anew(monkeypatch):
         assert encoder.encode([text])[0].tolist() == encoder.whole(text).tolist()
 
 
+def test_a_group_looks_a_word_up_once_whatever_follows_it():
+    asked = []
+
+    class Table(dict):
+        def get(self, piece, default=None):
+            asked.append(piece)
+            return super().get(piece, default)
+
+    ends = ("", ",", ".", ";", "!?", "'s", "_", "=1")
+    texts = ["", None, *(" ".join(w + e for w in ("alpha", "Ébène", "zeta") for e in ends) for _ in range(20))]
+    for path, spaced in ((BYTES, True), (WORDS, False)):
+        encoder = WordEncoder(path, spaced)
+        encoder.known = Table()
+        asked.clear()
+        found = [g.tolist() for g in encoder.encode(pa.array(texts))]
+        assert found == [encoder.whole(t or "").tolist() for t in texts]
+        assert len(asked) == len(set(asked)) == len(encoder.known) == 4 + len(ends) - 1  # the first word also without its space
+
+
 def test_packing_cuts_documents_in_fewer_tasks(spark, tmp_path):
     docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
     docs.repartition(64).write.parquet(str(tmp_path / "documents"))

@@ -50,7 +50,7 @@ def cut_documents(
         end, seen = np.array([end_id], np.uint32), np.zeros(size + 1, np.int64)
         for batch in slices(batches, "text"):
             rows = []
-            for doc_id, ids in zip(batch.column("id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), words.encode(batch.column("text")), strict=True):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), size)):
                     own = ids[start : start + size]

@@ -160,7 +160,7 @@ def write_token_files(
             if writer is None:
                 out = where.open_output_stream(f"{path}.open")
                 writer = Writer(out, bits)
-            for doc_id, ids in zip(batch.column("id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), words.encode(batch.column("text")), strict=True):
                 writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()

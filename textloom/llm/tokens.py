@@ -1,11 +1,13 @@
 """Token ids of whole texts with a public tokenizer, encoding every distinct word once.
 
 The given tokenizers never join characters across white space in front of a word,
-so a text's ids are the ids of its pieces in order. Pieces repeat, so their ids
-are kept in a table of bounded size, and the library encodes only pieces that are
-not in it; a plain word goes to the library's BPE model directly, since it is one
-word of the library's own split. Texts in which a cut could matter (a special
-token's string, white space that doesn't stand alone) go to the library whole.
+nor a letter with what follows a run of letters, so a text's ids are the ids of its
+pieces in order. Pieces repeat, so those of a group of texts are counted as an Arrow
+dictionary, their ids are kept in a table of bounded size, and the library encodes
+only pieces that are not in it; a plain word goes to the library's BPE model
+directly, since it is one word of the library's own split. Texts in which a cut could
+matter (a special token's string, white space that doesn't stand alone) go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -13,17 +15,29 @@ from __future__ import annotations
 import os
 import re
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .text_arrays import utf8
 
 #: Pieces whose ids a worker keeps while a task runs (some 50 MB). A full table is left as it is, or begun anew once it no longer serves.
 MOST_PIECES = 250_000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
-#: A worker encodes texts in groups of about so many characters.
+#: A worker encodes texts in groups of about so many bytes.
 GROUP_CHARS = 1 << 20
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD = re.compile(f"( ?[{_LETTERS}]+)([.,;:!?]*)")
+#: Pieces that are one word of the library's split: of every given tokenizer, and of those whose words take the space.
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+_SPACED_WORD = re.compile(f" ?(?:[{_LETTERS}]+|[0-9]+|[!-/:-@\\[-`{{-~]+)")
+_BYTES = np.arange(256)
+_ASCII_LETTER = (_BYTES | 32 >= 97) & (_BYTES | 32 <= 122) & (_BYTES < 128)
+_ASCII_OTHER = (_BYTES < 128) & ~_ASCII_LETTER
+#: Second bytes of the letters À to ÿ, whose first is 0xC3.
+_LATIN = (_BYTES >= 0x80) & (_BYTES <= 0xBF) & (_BYTES != 0x97) & (_BYTES != 0xB7)
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -42,8 +56,10 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.spaced = spaced
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        odd = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
         # A cut is safe at a space or line break; if pieces take spaces, only at one that stands alone.
-        self.unsafe = re.compile("|".join([*added, r"[^\S \n]", *([r"\s\s"] if spaced else [])]))
+        self.unsafe = "|".join([*added, f"[{odd}]", *(["[ \\n][ \\n]"] if spaced else [])])
+        self.plain = (_SPACED_WORD if spaced else _WORD).fullmatch
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(32, 256) if _WORD.fullmatch(f"a{chr(c)}") or c == 32}
         self.forget()
@@ -57,24 +73,18 @@ class WordEncoder:
         """The library's ids of a text."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _piece(self, piece: str, extra: dict[str, list[int]]) -> list[int]:
-        """Ids of a piece that the table doesn't have; those of new pieces go to ``extra``."""
-        if m := _WORD.fullmatch(piece):
-            if m[2]:
-                ids = self._ids(m[1], extra) + self._ids(m[2], extra)
-            else:
-                word = piece if self.spaced else piece.lower()
-                ids = [t.id for t in self.model.tokenize(word.translate(self.shown))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        extra[piece] = ids
-        return ids
-
-    def _ids(self, piece: str, extra: dict[str, list[int]]) -> list[int]:
-        i = self.known.get(piece)
-        if i is None:
-            return extra[piece] if piece in extra else self._piece(piece, extra)
-        return self.flat[self.starts[i] : self.starts[i + 1]].tolist()
+    def _new(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids plain words and then other pieces have, and their ids, flat."""
+        tokens = [self.model.tokenize(self._shown(p)) for p in words]
+        found = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in others]
+        sizes = np.fromiter(map(len, chain(tokens, found)), np.int64, count=len(words) + len(others))
+        ids = chain(map(attrgetter("id"), chain.from_iterable(tokens)), chain.from_iterable(found))
+        return sizes, np.fromiter(ids, np.uint32, count=int(sizes.sum()))
+
+    def _shown(self, piece: str) -> str:
+        """A plain word as the library's model takes it."""
+        word = piece if self.spaced else piece.lstrip(" ").lower()
+        return word.replace(" ", self.shown[32]) if word.isascii() else word.translate(self.shown)
 
     def _keep(self, names: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         short = np.fromiter(map(LONGEST_KEPT.__ge__, map(len, names)), bool, count=len(names))
@@ -93,70 +103,64 @@ class WordEncoder:
         self.starts[n + 1 : n + 1 + len(names)] = begin + np.cumsum(sizes)
         self.known.update(zip(names, range(n, n + len(names)), strict=True))
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a text without unsafe places."""
+    def _starts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where pieces start in the bytes of texts without unsafe places; ``rows`` holds the texts' offsets."""
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[:-1] = (data == 32) | (data == 10)
+        if self.spaced:
+            cut[1:] |= data == 10
+        letter = _ASCII_LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        cut[1:-1] |= letter[:-1] & _ASCII_OTHER[data[1:]]
+        cut[rows] = True
+        return np.flatnonzero(cut[:-1])
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        unsafe = pc.match_substring_regex(column, self.unsafe).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(column)
+        for i in np.flatnonzero(unsafe).tolist():
+            out[i] = self.whole(column[i].as_py())
+        safe = np.flatnonzero(~unsafe)
+        data, rows = utf8(column.filter(pa.array(~unsafe)) if len(safe) < len(column) else column)
         if not self.spaced:
-            return text.split()
-        if "\n" in text:
-            text = text.replace("\n", "\0\n\0")
-        return [p for p in text.replace(" ", "\0 ").split("\0") if p]
-
-    def _cut(self, cut: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, flat, and how many each has."""
-        at = np.fromiter(map(self.known.get, cut, repeat(-1)), dtype=np.int64, count=len(cut))
-        missing = np.flatnonzero(at < 0)
-        if len(self.known) > MOST_PIECES // 2 and len(missing) > len(cut) // 2:
+            data = np.where(data == 10, np.uint8(32), data)
+        group = rows[:-1] // GROUP_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(safe)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            ids, ends = self._group(data[rows[a] : rows[b]], rows[a : b + 1] - rows[a])
+            for i, start, end in zip(safe[a:b].tolist(), ends, ends[1:], strict=False):
+                out[i] = ids[start:end]
+        return out
+
+    def _group(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Ids of texts, flat, and the offset of each text's ids and their end."""
+        begin = self._starts(data, rows)
+        if not len(begin):
+            return np.zeros(0, np.uint32), [0] * len(rows)
+        ranges = np.append(begin, len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ranges), pa.py_buffer(data)).dictionary_encode()
+        names, index = pieces.dictionary.to_numpy(zero_copy_only=False), pieces.indices.to_numpy()
+        at = np.fromiter(map(self.known.get, names.tolist(), repeat(-1)), dtype=np.int64, count=len(names))
+        if len(self.known) > MOST_PIECES // 2 and np.count_nonzero((at < 0)[index]) > len(index) // 2:
             self.forget()
-            at, missing = np.full(len(cut), -1), np.arange(len(cut))
+            at = np.full(len(names), -1)
         starts, sizes, flat = self.starts[at], self.starts[at + 1] - self.starts[at], self.flat
+        missing = np.flatnonzero(at < 0)
         if len(missing):  # ids of this group's new pieces stand behind the table's
-            sought = [cut[i] for i in missing.tolist()]
-            extra: dict[str, list[int]] = {}
-            for piece in sought:
-                if piece not in extra:
-                    self._piece(piece, extra)
-            place = dict(zip(extra, range(len(extra)), strict=True))
-            new = np.fromiter(map(place.__getitem__, sought), np.int64, count=len(sought))
-            own = np.fromiter(map(len, extra.values()), np.int64, count=len(extra))
-            ids = np.fromiter(chain.from_iterable(extra.values()), np.uint32, count=int(own.sum()))
-            base = int(self.starts[len(self.known)])
-            flat = np.concatenate([self.flat[:base], ids])
-            starts[missing], sizes[missing] = (base + np.cumsum(own) - own)[new], own[new]
-            self._keep(list(extra), own, ids)
+            plain = np.fromiter(map(bool, map(self.plain, names[missing].tolist())), bool, count=len(missing))
+            words, others = missing[plain], missing[~plain]
+            own, new = self._new(names[words].tolist(), names[others].tolist())
+            missing, base = np.concatenate([words, others]), int(self.starts[len(self.known)])
+            flat = np.concatenate([self.flat[:base], new])
+            starts[missing], sizes[missing] = base + np.cumsum(own) - own, own
+            self._keep(names[missing].tolist(), own, new)
+        starts, sizes = starts[index], sizes[index]
         ends = np.cumsum(sizes)
-        if not len(ends):
-            return np.zeros(0, np.uint32), sizes
-        return flat[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)], sizes
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null counts as empty."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        group, chars = [], 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "\0" in text or self.unsafe.search(text):
-                out[i] = self.whole(text)
-                continue
-            group.append(i)
-            chars += len(text)
-            if chars >= GROUP_CHARS:
-                self._group(texts, group, out)
-                group, chars = [], 0
-        if group:
-            self._group(texts, group, out)
-        return out
-
-    def _group(self, texts: list, group: list[int], out: list) -> None:
-        cut, counts = [], []
-        for i in group:
-            own = self.pieces(texts[i])
-            cut += own
-            counts.append(len(own))
-        ids, sizes = self._cut(cut)
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *counts])].tolist()
-        for i, a, b in zip(group, ends, ends[1:], strict=False):
-            out[i] = ids[a:b]
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
+        return ids, np.concatenate(([0], ends))[np.searchsorted(begin, rows)].tolist()
 
 
 def encoder(path: str, spaced: bool) -> WordEncoder:
