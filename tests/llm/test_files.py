@@ -69,6 +69,16 @@ def test_a_group_looks_a_word_up_once_whatever_follows_it():
         assert len(asked) == len(set(asked)) == len(encoder.known) == 4 + len(ends) - 1  # the first word also without its space
 
 
+def test_texts_with_runs_of_white_space_are_encoded_by_pieces(monkeypatch):
+    texts = ["def f():\n    return 1\n\n\n\tx \n\r\n", " \n ", "\n\n", "a  ", "  b", "\t", " \t c\n", "", "d\t e\x0b\x0c\n f", "\n", "g, \n\n  h."]
+    for path, spaced in ((BYTES, True), (WORDS, False)):
+        encoder = WordEncoder(path, spaced)
+        want = [encoder.whole(t).tolist() for t in texts]
+        monkeypatch.setattr(encoder, "whole", None)
+        assert [g.tolist() for g in encoder.encode(texts)] == want
+        assert [encoder.encode([t])[0].tolist() for t in texts] == want
+
+
 def test_packing_cuts_documents_in_fewer_tasks(spark, tmp_path):
     docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
     docs.repartition(64).write.parquet(str(tmp_path / "documents"))

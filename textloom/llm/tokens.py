@@ -6,8 +6,7 @@ pieces in order. Pieces repeat, so those of a group of texts are counted as an A
 dictionary, their ids are kept in a table of bounded size, and the library encodes
 only pieces that are not in it; a plain word goes to the library's BPE model
 directly, since it is one word of the library's own split. Texts in which a cut could
-matter (a special token's string, white space that doesn't stand alone) go to the
-library whole.
+matter (a special token's string, white space beyond ASCII) go to the library whole.
 """
 
 from __future__ import annotations
@@ -36,6 +35,8 @@ _SPACED_WORD = re.compile(f" ?(?:[{_LETTERS}]+|[0-9]+|[!-/:-@\\[-`{{-~]+)")
 _BYTES = np.arange(256)
 _ASCII_LETTER = (_BYTES | 32 >= 97) & (_BYTES | 32 <= 122) & (_BYTES < 128)
 _ASCII_OTHER = (_BYTES < 128) & ~_ASCII_LETTER
+#: White space that texts are cut at.
+_GAP = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
 #: Second bytes of the letters À to ÿ, whose first is 0xC3.
 _LATIN = (_BYTES >= 0x80) & (_BYTES <= 0xBF) & (_BYTES != 0x97) & (_BYTES != 0xB7)
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -56,9 +57,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.spaced = spaced
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        odd = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
-        # A cut is safe at a space or line break; if pieces take spaces, only at one that stands alone.
-        self.unsafe = "|".join([*added, f"[{odd}]", *(["[ \\n][ \\n]"] if spaced else [])])
+        odd = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and not (c < 128 and _GAP[c]))
+        self.unsafe = "|".join([*added, f"[{odd}]"])
         self.plain = (_SPACED_WORD if spaced else _WORD).fullmatch
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(32, 256) if _WORD.fullmatch(f"a{chr(c)}") or c == 32}
@@ -105,14 +105,18 @@ class WordEncoder:
 
     def _starts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Where pieces start in the bytes of texts without unsafe places; ``rows`` holds the texts' offsets."""
-        cut = np.zeros(len(data) + 1, dtype=bool)
-        cut[:-1] = (data == 32) | (data == 10)
-        if self.spaced:
-            cut[1:] |= data == 10
+        gap, row = _GAP[data], np.zeros(len(data) + 1, dtype=bool)
+        row[rows] = True
+        cut = row.copy()
+        if self.spaced:  # of white space in front of a word, the last is split off: a space goes to the word, others stand alone
+            last = gap[:-1] & ~gap[1:] & ~row[1:-1]
+            cut[:-2] |= last
+            cut[1:-1] |= gap[1:] & ~gap[:-1] | last & (data[:-1] != 32)
+        else:
+            cut[:-1] |= gap
         letter = _ASCII_LETTER[data]
         letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
         cut[1:-1] |= letter[:-1] & _ASCII_OTHER[data[1:]]
-        cut[rows] = True
         return np.flatnonzero(cut[:-1])
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
@@ -126,7 +130,7 @@ class WordEncoder:
         safe = np.flatnonzero(~unsafe)
         data, rows = utf8(column.filter(pa.array(~unsafe)) if len(safe) < len(column) else column)
         if not self.spaced:
-            data = np.where(data == 10, np.uint8(32), data)
+            data = np.where(_GAP[data], np.uint8(32), data)
         group = rows[:-1] // GROUP_CHARS
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(safe)]
         for a, b in zip(cuts, cuts[1:], strict=False):
