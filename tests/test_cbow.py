@@ -232,3 +232,36 @@ def test_no_null_lists_are_sent_to_batches(spark, monkeypatch):
 
     monkeypatch.setattr(cbow, "_batch", checked)
     assert cbow.word_vectors(cbow.train_cbow(topics(spark, 40), 4, 1, 1, 1)).count() > 0
+
+
+def test_examples_made_in_tasks_are_those_given_as_rows(spark, monkeypatch):
+    """Windows and negatives of long texts, cut into pieces, come to the same step as a row for every example."""
+    monkeypatch.setattr(cbow, "STEP_WORDS", 60)
+    rng, near, size = random.Random(4), (-2, -1, 1, 2), 20
+    texts = [(i - 3, [rng.randint(1, size) for _ in range(n)]) for i, n in enumerate([1, 0, 2, 7, 8, 9, 40, 15, 3, 14])]
+    vectors = [(kind, key, [rng.uniform(-1, 1) for _ in range(3)]) for kind in (cbow.INPUT, cbow.OUTPUT) for key in range(1, size + 1)]
+    negative = lambda text, place: [np.abs(text * 7 + place * 13 + k * 5) % size + 1 for k in (0, 1)]
+    rows = []
+    for ident, ids in texts:
+        for i, own in enumerate(ids):
+            context = [ids[i + d] for d in near if 0 <= i + d < len(ids)]
+            if context:
+                rows.append((ident % 2, 100 * ident + i, context, [own, *(int(n) for n in negative(ident, i))]))
+    given = [
+        spark.createDataFrame(vectors, "kind int, key long, vec array<double>"),
+        spark.createDataFrame([(i, [i]) for i in range(1, size + 1)], "id long, units array<long>"),
+    ]
+    step = lambda *args: {(r["kind"], r["key"]): r["vec"] for r in cbow.cbow_step(*given, *args).collect()}
+    want = step(spark.createDataFrame(rows, "batch long, key long, context array<long>, targets array<long>"), 0.05)
+    pieces = cbow.text_pieces(spark.createDataFrame(texts, "id long, ids array<int>"), 2, 7)
+    assert max(len(r["items"]) for r in pieces.collect()) <= 7 + 2 * 2
+    pieces = pieces.selectExpr("pmod(id, 2) AS batch", "id AS key", "n", "items")
+    got = step(pieces, 0.05, lambda *p: cbow.pieces_examples(*p, near, negative, 7), 4)
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], atol=1e-12) for k in want)
+
+
+def test_a_step_query_has_no_row_for_an_example(spark, monkeypatch):
+    from textloom.plans import features
+
+    monkeypatch.setattr(cbow, "_given_examples", None)
+    assert features.cbow_step(spark, "/root/testdata/sf0.001").count() > 0
