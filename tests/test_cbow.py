@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import session
 from textloom.operators import cbow, embeddings
 from textloom.operators import vocabulary as vo
 
@@ -265,3 +267,25 @@ def test_a_step_query_has_no_row_for_an_example(spark, monkeypatch):
 
     monkeypatch.setattr(cbow, "_given_examples", None)
     assert features.cbow_step(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_an_epoch_leaves_only_its_vectors(spark, monkeypatch, tmp_path):
+    """Neither earlier vectors and draws nor shuffle files add up over epochs."""
+    monkeypatch.setattr(session, "scratch_path", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}-{random.random()}")
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = []
+    write = cbow.kept
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        if name == "vectors":
+            time.sleep(1)
+            held.append(store.getAllFiles().size())
+        return out
+
+    monkeypatch.setattr(cbow, "kept", counted)
+    model = cbow.train_cbow(topics(spark, 40), 4, 1, 6, 1, batch_tokens=100)
+    assert model.vectors.count() > 0
+    names = [p.name.rsplit("-", 2)[0] for p in tmp_path.iterdir()]
+    assert names.count("vectors") == 1 and "draws" not in names
+    assert held[-1] <= held[1]
